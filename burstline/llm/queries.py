@@ -1,0 +1,102 @@
+"""Queries over the tweet and document tables, one group per problem."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from burstline.sources.tables import table
+
+from . import cooccur, lookalike, terms
+
+
+def _tweets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tweets")
+
+
+def _with_text(recs: DataFrame):
+    """The number of records with a non-null text, as a scalar subquery."""
+    return recs.where(F.col("text").isNotNull()).agg(F.count("*").alias("n")).scalar()
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(_tweets(spark, d), "id_str", "text")
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.form_classes(_tweets(spark, d), "id_str", "text")
+
+
+def p1_forms(spark: SparkSession, d: str) -> DataFrame:
+    t = _tweets(spark, d)
+    return t.select("id_str", lookalike.consistent_form("text").alias("form")).distinct()
+
+
+# 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def _term_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    recs = terms.records(_tweets(spark, d), "id_str", "text")
+    return recs, terms.term_counts(terms.occurrences(recs, terms.terms("text")))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    recs, counts = _term_counts(spark, d)
+    return terms.mark_terms(counts, _with_text(recs))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_counts(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    recs = terms.records(_tweets(spark, d), "id_str", "text")
+    out = terms.distinctive_terms(recs, terms.terms("text"), _with_text(recs))
+    return out.select(F.col("rec").alias("id_str"), "term", "tf", "df", "cf", F.round("kl", 6).alias("kl"), F.round("tf_idf", 6).alias("tf_idf"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    recs = terms.records(_tweets(spark, d), "id_str", "text")
+    scored = terms.distinctive_terms(recs, terms.terms("text"), _with_text(recs))
+    return terms.best_term(scored, "tf_idf").select(F.col("rec").alias("id_str"), "term")
+
+
+def p3_best_by_divergence(spark: SparkSession, d: str) -> DataFrame:
+    recs = terms.records(_tweets(spark, d), "id_str", "text")
+    scored = terms.distinctive_terms(recs, terms.terms("text"), _with_text(recs))
+    return terms.best_term(scored, "kl").select(F.col("rec").alias("id_str"), "term")
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = _tweets(spark, d)
+    tags = F.transform(F.coalesce("hashtags", F.expr("cast(array() as array<struct<text:string>>)")), lambda x: F.concat(F.lit("#"), F.lower(x["text"])))
+    names = F.transform(
+        F.coalesce("user_mentions", F.expr("cast(array() as array<struct<id_str:string,screen_name:string>>)")),
+        lambda x: F.concat(F.lit("@"), F.lower(x["screen_name"])),
+    )
+    items = F.array_distinct(F.filter(F.concat(tags, names), lambda x: x.isNotNull()))
+    one = t.where(F.col("id_str").isNotNull()).groupBy("id_str").agg(F.max(items).alias("items"))
+    n = one.agg(F.count("*").alias("n")).scalar()
+    return cooccur.together(one, "items", n), n
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _ = _pairs(spark, d)
+    return pairs.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, n = _pairs(spark, d)
+    return pairs.where(F.col("n_ab") * n >= 5 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs)}
