@@ -1,4 +1,6 @@
 """The registered queries and the SQL that states them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import raw
+
+QUERIES = {**raw.QUERIES}
+SQL = {**raw.SQL}
