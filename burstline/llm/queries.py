@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burstline.sources.tables import table
 
-from . import cooccur, lookalike, terms
+from . import cooccur, lookalike, neardup, terms
 
 
 def _tweets(spark: SparkSession, d: str) -> DataFrame:
@@ -99,4 +99,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(F.col("n_ab") * n >= 5 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs)}
+# 7 ------------------------------------------------------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(_tweets(spark, d), "id_str", "text")
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_tweets(spark, d), "id_str", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p7_found, p7_groups)}
