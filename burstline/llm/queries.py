@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burstline.sources.tables import table
 
-from . import cooccur, lookalike, neardup, terms
+from . import bpe, cooccur, lookalike, neardup, packing, terms
 
 
 def _tweets(spark: SparkSession, d: str) -> DataFrame:
@@ -110,4 +110,47 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(_tweets(spark, d), "id_str", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p7_found, p7_groups)}
+# 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_table(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.decode_table(p8_ids(spark, d), "doc_id", "ids")
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def _placed(spark: SparkSession, d: str, together: bool) -> DataFrame:
+    docs = table(spark, d, "documents")
+    bins = sorted({(r["tokenizer"], r["capacity"]) for r in table(spark, d, "token_bins").select("tokenizer", "capacity").distinct().limit(1000).collect()})
+    name = bins[0][0]
+    if any(t != name for t, _ in bins):
+        raise ValueError("containers of one call share a tokenizer")
+    capacities = [c for _, c in bins]
+    plans = [capacities] if together else [[c] for c in capacities]
+    sizes = bpe.token_lengths(docs.where(F.col("text") != ""), "doc_id", "text", name)
+    return packing.pack_table(sizes, "doc_id", "n_tokens", plans, docs.count())
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of each capacity, one complete placement a capacity."""
+    return _placed(spark, d, False)
+
+
+def p9_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """All documents once, each in a container of its own tier or in the gap of a longer one."""
+    return _placed(spark, d, True)
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, documents and share filled of each capacity."""
+    one = p9_containers(spark, d).groupBy("capacity", "container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    used = F.sum("used")
+    return one.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.round(used / (F.count("*") * F.first("capacity")), 4).alias("filled"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill)}
