@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burstline.sources.tables import table
 
-from . import bpe, cooccur, lookalike, neardup, packing, terms
+from . import bpe, cooccur, langid, lookalike, neardup, packing, terms
 
 
 def _tweets(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +99,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(F.col("n_ab") * n >= 5 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 
+# 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    t = _tweets(spark, d).where(F.col("id_str").isNotNull())
+    model = langid.train(langid.labelled_sample(t, "id_str", "text", "lang"))
+    keyed = t.select(F.struct("id_str", langid.language_of_label(F.col("lang")).alias("label")).alias("k"), "text")
+    return langid.segments(keyed, "k", "text", model).select("k.*", "parts", "from_word", "to_word", "segment", "lang", "confidence")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).drop("label", "parts").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """A stretch is a case if the label is missing or names another language, or if it is not its text's only one."""
+    s = _segments(spark, d)
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang")) | (F.col("parts") > 1)
+    return s.where(F.col("lang").isNotNull() & wrong).select("id_str", "lang").distinct()
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -153,4 +174,4 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.round(used / (F.count("*") * F.first("capacity")), 4).alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p5_found, p5_segments, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill)}
