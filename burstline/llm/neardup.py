@@ -62,37 +62,44 @@ def word_set(text: str | None) -> list[str]:
 
 
 def _keyed_words(df: DataFrame, key: str, text: str, p: Params, combine: bool) -> DataFrame:
-    """(words, key, n): combined per batch, or one row per record with n = 1."""
+    """(words, key): one row per record; or, combined per batch, the least and the greatest key of each set."""
     slim = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     least = p.min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, words, n = [], [], []
-            seen: dict[str, int] = {}
+            keys, words = [], []
+            ends: dict[str, tuple[str, str]] = {}
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = word_set(t)
                 if len(ws) < least:
                     continue
                 joined = " ".join(ws)
-                at = seen.get(joined) if combine else None
-                if at is None:
-                    seen[joined] = len(keys)
+                if combine:
+                    lo, hi = ends.get(joined, (k, k))
+                    ends[joined] = (min(lo, k), max(hi, k))
+                else:
                     keys.append(k)
                     words.append(joined)
-                    n.append(1)
-                else:
-                    keys[at] = min(keys[at], k)
-                    n[at] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["words", "key", "n"])
+            for joined, pair in ends.items():
+                for k in sorted(set(pair)):
+                    keys.append(k)
+                    words.append(joined)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string())], ["words", "key"])
 
-    return slim.mapInArrow(run, "words string, key string, n long").withColumn("sid", F.xxhash64("words"))
+    return slim.mapInArrow(run, "words string, key string").withColumn("sid", F.xxhash64("words"))
 
 
 def distinct_sets(df: DataFrame, key: str, text: str, p: Params) -> DataFrame:
-    """(g, sid, words, rep, n): one row per distinct word set of p.min_words words or more, partitioned by g."""
+    """(g, sid, words, rep, shared): one row per distinct word set of p.min_words words or more, partitioned by g.
+
+    Least and greatest are taken of whole structs, so that every use of the result needs the same columns below the
+    exchange, which is then made once and reused.
+    """
     rows = _keyed_words(df, key, text, p, True).withColumn("g", F.shiftrightunsigned("sid", 24))
-    return rows.repartition("g").groupBy("g", "sid").agg(F.first("words").alias("words"), F.min("key").alias("rep"), F.sum("n").alias("n"))
+    whole = F.struct("words", "key")
+    ends = rows.repartition("g").groupBy("g", "sid").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
+    return ends.select("g", "sid", F.col("lo.words").alias("words"), F.col("lo.key").alias("rep"), (F.col("lo.key") != F.col("hi.key")).alias("shared"))
 
 
 def _hashes(words: str) -> Column:
@@ -280,7 +287,7 @@ class _Sketch:
 
 
 def similar_sets(sets: DataFrame, n_rows: int, p: Params) -> DataFrame:
-    """(sid_a, sid_b, rep_a, rep_b, n_a, n_b, similarity) of distinct sets with a similarity of p.threshold or more."""
+    """(sid_a, sid_b, rep_a, rep_b, shared_a, shared_b, similarity) of distinct sets with a similarity of p.threshold or more."""
     buckets = max(16, math.ceil(n_rows * p.bands / p.bucket_entries))
     hashed = sets.select("g", _hashes("words").alias("hs"))
     blobs = hashed.mapInArrow(_band_blobs(buckets, p), "bucket int, blob binary")
@@ -295,34 +302,34 @@ def similar_sets(sets: DataFrame, n_rows: int, p: Params) -> DataFrame:
     likely = sized.where(sketch.likely(F.col("ra"), F.col("rb"), F.col("ma"), F.col("mb"))).select("a", "b")
     hot = met.where("kind = 1")
     likely = likely.unionByName(prefix_candidates(sets, hot, p)).distinct()
-    side = lambda s: sets.select(F.col("g").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "words", "rep", "n")))
+    side = lambda s: sets.select(F.col("g").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "words", "rep", "shared")))
     met = likely.join(side("a"), "a").join(side("b"), "b")
     wa, wb = F.split("words_a", " "), F.split("words_b", " ")
     shared = F.size(F.array_intersect(wa, wb))
     return (
         met.withColumn("similarity", shared / (F.size(wa) + F.size(wb) - shared))
         .where((F.col("similarity") >= t - 1e-9) & (F.col("sid_a") != F.col("sid_b")))
-        .select("sid_a", "sid_b", "rep_a", "rep_b", "n_a", "n_b", "similarity")
+        .select("sid_a", "sid_b", "rep_a", "rep_b", "shared_a", "shared_b", "similarity")
     )
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, p: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, links, members): the distinct sets, the links between them, and the records of sets that rows share.
 
-    Null keys and texts and texts of fewer than p.min_words words take no part. members has (sid, key) of the sets with
-    n > 1; the only record of another set is its rep.
+    Null keys and texts and texts of fewer than p.min_words words take no part. members has (sid, key) of the sets that
+    several records share; the only record of another set is its rep.
     """
     sets = distinct_sets(df, key, text, p)
     links = similar_sets(sets, df.count(), p)
     rows = _keyed_words(df, key, text, p, False).select("sid", "key")
-    members = rows.join(sets.where("n > 1").select("sid"), "sid", "left_semi").distinct()
+    members = rows.join(sets.where("shared").select("sid"), "sid", "left_semi").distinct()
     return sets, links, members
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, p: Params = Params()) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of all pairs of records, those with equal sets included."""
     sets, links, members = near_duplicates(df, key, text, p)
-    a = _expand(links.select("sid_a", "rep_a", "n_a", "sid_b", "rep_b", "n_b"), members, "a")
+    a = _expand(links.select("sid_a", "rep_a", "shared_a", "sid_b", "rep_b", "shared_b"), members, "a")
     both = _expand(a, members, "b").select("id_a", "id_b").where("id_a <> id_b")
     x, y = members.toDF("sid", "id_a"), members.toDF("sid", "id_b")
     equal = x.join(y, "sid").where("id_a < id_b").select("id_a", "id_b")
@@ -331,8 +338,8 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, p: Params = Params(
 
 def _expand(links: DataFrame, members: DataFrame, s: str) -> DataFrame:
     """Adds id_s: the rep of a set of one record, else each of its records."""
-    one = links.where(F.col(f"n_{s}") == 1).withColumn(f"id_{s}", F.col(f"rep_{s}"))
-    more = links.where(F.col(f"n_{s}") > 1).join(members.toDF(f"sid_{s}", f"id_{s}"), f"sid_{s}")
+    one = links.where(~F.col(f"shared_{s}")).withColumn(f"id_{s}", F.col(f"rep_{s}"))
+    more = links.where(F.col(f"shared_{s}")).join(members.toDF(f"sid_{s}", f"id_{s}"), f"sid_{s}")
     return one.unionByName(more)
 
 
@@ -346,9 +353,9 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, p: Params = Params
     ends = links.select("sid_a", "sid_b")
     groups = connected_components(ends, "sid_a", "sid_b").withColumnRenamed("node", "sid")
     degree = ends.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    named = sets.select("sid", "rep", "n").join(groups, "sid", "left").join(degree, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = sets.select("sid", "rep", "shared").join(groups, "sid", "left").join(degree, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.where("n_links is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    placed = named.join(least, "component", "left").select("sid", "rep", "n", F.coalesce("least", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    one = placed.where("n = 1").select(F.col("rep").alias(key), "group_id", "n_links")
-    more = placed.where("n > 1").join(members, "sid").select(F.col("key").alias(key), "group_id", "n_links")
+    placed = named.join(least, "component", "left").select("sid", "rep", "shared", F.coalesce("least", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    one = placed.where("not shared").select(F.col("rep").alias(key), "group_id", "n_links")
+    more = placed.where("shared").join(members, "sid").select(F.col("key").alias(key), "group_id", "n_links")
     return one.unionByName(more)
