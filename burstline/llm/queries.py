@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burstline.sources.tables import table
 
-from . import bpe, cooccur, langid, lookalike, neardup, packing, terms
+from . import bpe, cooccur, langid, lookalike, neardup, packing, subjects, terms
 
 
 def _tweets(spark: SparkSession, d: str) -> DataFrame:
@@ -174,4 +174,20 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.round(used / (F.count("*") * F.first("capacity")), 4).alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p5_found, p5_segments, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill)}
+# 10 -----------------------------------------------------------------------------------------------------------------
+
+
+def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
+    names = [r["subject"] for r in table(spark, d, "subjects").select("subject").where("subject is not null").distinct().limit(1000).collect()]
+    return subjects.subjects_of(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), names)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_make_up(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.make_up(p10_subjects(spark, d), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p5_found, p5_segments, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill, p10_found, p10_subjects, p10_make_up)}
