@@ -1,6 +1,6 @@
 """The registered queries and the SQL that states them."""
 
-from . import raw
+from . import detect, raw
 
-QUERIES = {**raw.QUERIES}
-SQL = {**raw.SQL}
+QUERIES = {**detect.QUERIES, **raw.QUERIES}
+SQL = {**detect.SQL, **raw.SQL}
