@@ -1,6 +1,7 @@
 """The registered queries and the SQL that states them."""
 
-from . import detect, raw
+from . import detect, evaluation, raw, texts
 
-QUERIES = {**detect.QUERIES, **raw.QUERIES}
-SQL = {**detect.SQL, **raw.SQL}
+PARTS = (detect, texts, evaluation, raw)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+SQL = {k: v for part in PARTS for k, v in part.SQL.items()}
