@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from burstline.functions.math import hamming
-from burstline.session import ensure_checkpoint_dir
+
+from .order import with_positions
 
 
 def planes(bits: int, dim: int, seed: int) -> np.ndarray:
@@ -47,38 +47,27 @@ def _permuted(sig: list[int], order: np.ndarray, bits: int) -> bytes:
     return np.packbits([every[k] for k in order]).tobytes()
 
 
-def _with_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = 0
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(n, n + b.num_rows))], ["part", "id", "sig", "place"])
-        n += b.num_rows
+def _permute(order: np.ndarray, bits: int):
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([_permuted(x, order, bits) for x in s.to_pylist()], pa.binary())
+
+    run.__annotations__ = {"s": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, BinaryType())
 
 
 def candidates(signed: DataFrame, key: str, sig: str, bits: int, rounds: int, window: int, max_hamming: int, seed: int = 5) -> DataFrame:
     """(id_a, id_b, hamming, similarity), id_a < id_b: in each round the bits are permuted, the signatures sorted, and each
     compared with those within window / 2 places.
 
-    The order of a round is a range-partitioned sort; a row's global place is its place in the partition plus the sizes of
-    the partitions before it, and neighbours meet by an equi-join on blocks of places. The sort is cut by checkpoint(), so
-    that places do not change if a partition is computed again. Null signatures take no part.
+    The order of a round is a range-partitioned sort with places counted across partitions, and neighbours meet by an
+    equi-join on blocks of places. Null signatures take no part.
     """
-    ensure_checkpoint_dir(signed.sparkSession)
     rng = np.random.default_rng(seed)
     half, out = max(1, window // 2), None
     base = signed.select(F.col(key).cast("string").alias("id"), F.col(sig).alias("sig")).where("sig is not null")
     for _ in range(rounds):
-        order = rng.permutation(bits)
-
-        def permute(s: pa.Array, order=order) -> pa.Array:
-            return pa.array([_permuted(x, order, bits) for x in s.to_pylist()], pa.binary())
-
-        permute.__annotations__ = {"s": pa.Array, "return": pa.Array}
-        mixed = base.withColumn("mixed", F.arrow_udf(permute, BinaryType())(F.col("sig")))
-        run = mixed.repartitionByRange("mixed", "id").sortWithinPartitions("mixed", "id").select(F.spark_partition_id().alias("part"), "id", "sig")
-        placed = run.mapInArrow(_with_place, "part int, id string, sig array<long>, place long").checkpoint()
-        sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-        before = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-        at = placed.join(F.broadcast(before), "part").select("id", "sig", (F.col("place") + F.coalesce("before", F.lit(0))).alias("r"))
+        mixed = base.withColumn("mixed", _permute(rng.permutation(bits), bits)(F.col("sig")))
+        at = with_positions(mixed, ["mixed", "id"], "r")
         a = at.select(F.col("id").alias("x"), F.col("sig").alias("sx"), F.col("r").alias("rx"), F.floor(F.col("r") / half).alias("block"))
         b = at.select(F.col("id").alias("y"), F.col("sig").alias("sy"), F.col("r").alias("ry"), F.explode(F.array(F.floor(F.col("r") / half), F.floor(F.col("r") / half) - 1)).alias("block"))
         met = a.join(b, "block").where((F.col("ry") > F.col("rx")) & (F.col("ry") - F.col("rx") <= half)).withColumn("hamming", hamming(F.col("sx"), F.col("sy")))

@@ -1,7 +1,7 @@
 """The registered queries and the SQL that states them."""
 
-from . import detect, evaluation, raw, texts
+from . import detect, evaluation, language, raw, streams, texts, vectors
 
-PARTS = (detect, texts, evaluation, raw)
+PARTS = (detect, texts, evaluation, vectors, language, raw, streams)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in PARTS for k, v in part.SQL.items()}

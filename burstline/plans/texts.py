@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burstline.functions import text as T
+from burstline.operators.order import late_rows, with_positions
 from burstline.sources.tables import table
 
 from .detect import PIECES, STOP, TWEETS, tweets
@@ -136,8 +137,8 @@ def noise_words(spark, d):
 def digitised_words(spark, d):
     """Words with dense numbers in the order of the first tweet and place that hold them."""
     t = tweets(spark, d).where("text is not null").select("id_str", F.posexplode(T.words(F.col("text"))).alias("p", "w"))
-    first = t.groupBy("w").agg(F.min(F.struct("id_str", "p")).alias("f")).orderBy("f.id_str", "f.p").limit(500)
-    return first.select("w", F.row_number().over(Window.orderBy("f.id_str", "f.p")).alias("number"))
+    first = t.groupBy("w").agg(F.min(F.struct("id_str", "p")).alias("f")).select("w", "f.id_str", "f.p")
+    return with_positions(first, ["id_str", "p"], "number").select("w", "number")
 
 
 def running_days(spark, d):
@@ -153,11 +154,17 @@ def active_users(spark, d):
     return t.join(u, "user_id_str").select("user_id_str", "screen_name", "tweets", "days", "followers_count")
 
 
+def late_tweets(spark, d):
+    """Deliveries of a day that is over: an earlier delivery was of a later day."""
+    t = table(spark, d, "tweets").where("id_str is not null").select("id_str", "received_at", "tw", "retweet_count")
+    return late_rows(t, ["received_at", "id_str", "retweet_count"], "tw").where("late").select("id_str", "received_at", "tw")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_words, printable_texts, stop_and_url_filter, marked_mentions, squeezed_repeats, trimmed_tags, good_grams, social_flags, parsed_times, url_ratio_by_day, dedup_first,
-        length_histogram, corpus_statistics, kinds_of_words, top_words, statistics_by_length, zodiac_filter, noise_words, digitised_words, running_days, active_users,
+        length_histogram, corpus_statistics, kinds_of_words, top_words, statistics_by_length, zodiac_filter, noise_words, digitised_words, running_days, active_users, late_tweets,
     )
 }
 
@@ -195,7 +202,8 @@ hour(ts)::INT AS hour, ((hour(ts) + 8) % 24)::INT AS hour_east, (hour(ts) // 4 +
     "statistics_by_length": f"{W}, e AS (SELECT x, count(*) AS n FROM (SELECT unnest(ws) AS x FROM w) GROUP BY x) SELECT length(x)::INT AS length, count(*) AS distinct_words, sum(n)::BIGINT AS occurrences FROM e GROUP BY ROLLUP (length(x)::INT)",
     "zodiac_filter": f"{W}, z AS (SELECT id_str, list_has_any(ws, {SIGNS}) AS exact, len(list_filter(ws, lambda x: len(list_filter({SIGNS}, lambda z: contains(x, z))) > 0)) > 0 AS inside FROM w) SELECT * FROM z WHERE exact OR inside",
     "noise_words": f"{W}, f AS (SELECT id_str, unnest([f.arg1, f.verb, f.arg2]) AS x FROM (SELECT id_str, unnest(frames) AS f FROM frames WHERE frames IS NOT NULL)), tw_ AS (SELECT id_str, unnest(list_distinct(ws)) AS w FROM w WHERE id_str IN (SELECT id_str FROM f)) SELECT w, count(*) AS n FROM tw_ WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id_str = tw_.id_str AND f.x = tw_.w) GROUP BY w HAVING count(*) >= 2",
-    "digitised_words": f"{W}, e AS (SELECT id_str, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w), f AS (SELECT x, min(id_str || '-' || lpad(p::VARCHAR, 9, '0')) AS k FROM e GROUP BY x) SELECT x AS w, row_number() OVER (ORDER BY k) AS number FROM f QUALIFY row_number() OVER (ORDER BY k) <= 500",
+    "digitised_words": f"{W}, e AS (SELECT id_str, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w), f AS (SELECT x, min(id_str || '-' || lpad(p::VARCHAR, 9, '0')) AS k FROM e GROUP BY x) SELECT x AS w, row_number() OVER (ORDER BY k) AS number FROM f",
     "running_days": f"WITH {TWEETS}, e AS (SELECT tw, count(*) AS n FROM t WHERE tw IS NOT NULL GROUP BY tw) SELECT tw, n, (sum(n) OVER (ORDER BY tw))::BIGINT AS so_far FROM e",
+    "late_tweets": "SELECT id_str, received_at, tw FROM (SELECT *, max(tw) OVER (ORDER BY received_at, id_str, retweet_count ROWS UNBOUNDED PRECEDING) AS latest FROM tweets WHERE id_str IS NOT NULL) WHERE tw < latest",
     "active_users": f"WITH {TWEETS}, e AS (SELECT usr, count(*) AS tweets, count(DISTINCT tw) AS days FROM t WHERE usr IS NOT NULL GROUP BY usr) SELECT usr AS user_id_str, screen_name, tweets, days, followers_count FROM e JOIN users u ON u.id_str = usr",
 }
