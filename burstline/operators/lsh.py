@@ -47,32 +47,31 @@ def _permuted(sig: list[int], order: np.ndarray, bits: int) -> bytes:
     return np.packbits([every[k] for k in order]).tobytes()
 
 
-def _permute(order: np.ndarray, bits: int):
+def _permute(orders: list[np.ndarray], bits: int):
     def run(s: pa.Array) -> pa.Array:
-        return pa.array([_permuted(x, order, bits) for x in s.to_pylist()], pa.binary())
+        return pa.array([[_permuted(x, order, bits) for order in orders] for x in s.to_pylist()], pa.list_(pa.binary()))
 
     run.__annotations__ = {"s": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, BinaryType())
+    return F.arrow_udf(run, ArrayType(BinaryType()))
 
 
 def candidates(signed: DataFrame, key: str, sig: str, bits: int, rounds: int, window: int, max_hamming: int, seed: int = 5) -> DataFrame:
     """(id_a, id_b, hamming, similarity), id_a < id_b: in each round the bits are permuted, the signatures sorted, and each
     compared with those within window / 2 places.
 
-    The order of a round is a range-partitioned sort with places counted across partitions, and neighbours meet by an
-    equi-join on blocks of places. Null signatures take no part.
+    All rounds are one range-partitioned sort with places counted across partitions, and neighbours meet by an equi-join
+    on blocks of places. Null signatures take no part.
     """
     rng = np.random.default_rng(seed)
-    half, out = max(1, window // 2), None
+    half = max(1, window // 2)
     base = signed.select(F.col(key).cast("string").alias("id"), F.col(sig).alias("sig")).where("sig is not null")
-    for _ in range(rounds):
-        mixed = base.withColumn("mixed", _permute(rng.permutation(bits), bits)(F.col("sig")))
-        at = with_positions(mixed, ["mixed", "id"], "r")
-        a = at.select(F.col("id").alias("x"), F.col("sig").alias("sx"), F.col("r").alias("rx"), F.floor(F.col("r") / half).alias("block"))
-        b = at.select(F.col("id").alias("y"), F.col("sig").alias("sy"), F.col("r").alias("ry"), F.explode(F.array(F.floor(F.col("r") / half), F.floor(F.col("r") / half) - 1)).alias("block"))
-        met = a.join(b, "block").where((F.col("ry") > F.col("rx")) & (F.col("ry") - F.col("rx") <= half)).withColumn("hamming", hamming(F.col("sx"), F.col("sy")))
-        found = met.where(F.col("hamming") < max_hamming).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "hamming")
-        out = found if out is None else out.unionByName(found)
+    mixed = _permute([rng.permutation(bits) for _ in range(rounds)], bits)(F.col("sig"))
+    at = with_positions(base.select("id", "sig", F.posexplode(mixed).alias("round", "mixed")), ["round", "mixed", "id"], "r").select("id", "sig", "round", "r")
+    block = F.floor(F.col("r") / half)
+    a = at.select(F.col("id").alias("x"), F.col("sig").alias("sx"), F.col("r").alias("rx"), "round", block.alias("block"))
+    b = at.select(F.col("id").alias("y"), F.col("sig").alias("sy"), F.col("r").alias("ry"), "round", F.explode(F.array(block, block - 1)).alias("block"))
+    met = a.join(b, ["round", "block"]).where((F.col("ry") > F.col("rx")) & (F.col("ry") - F.col("rx") <= half)).withColumn("hamming", hamming(F.col("sx"), F.col("sy")))
+    out = met.where(F.col("hamming") < max_hamming).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "hamming")
     return out.distinct().withColumn("similarity", similarity_of(F.col("hamming"), bits))
 
 

@@ -32,7 +32,7 @@ def tsv_tweets(spark: SparkSession, path: str, first_day: str | None = None, las
     """Tweets of wide TSV lines: 13 columns or more, id, text and time in the 7th, 9th and 10th. Rows whose cleaned text is
     empty, whose time is none (`false`), or outside the days are left out; the text comes as delivered."""
     f = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 13)
-    t = f.select(F.col("f")[6].alias("id_str"), F.col("f")[8].alias("text"), T.twelve_hour_time(F.col("f")[9]).alias("ts")).where("ts is not null")
+    t = f.select(F.get("f", F.lit(6)).alias("id_str"), F.get("f", F.lit(8)).alias("text"), T.twelve_hour_time(F.get("f", F.lit(9))).alias("ts")).where("ts is not null")
     t = t.withColumn("tw", F.to_date("ts")).withColumn("subtw", T.sub_window(F.col("ts"))).where(F.size(T.clean(F.col("text"))) > 0)
     if first_day:
         t = t.where(F.col("tw") >= F.lit(first_day).cast("date"))
@@ -42,16 +42,16 @@ def tsv_tweets(spark: SparkSession, path: str, first_day: str | None = None, las
 def unit_lines(spark: SparkSession, path: str, segments: bool = False) -> DataFrame:
     """(id, units) of lines `id TAB units` or `id TAB score TAB units`; the last field holds the units, lower case."""
     f = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 2)
-    body = F.lower(F.element_at("f", -1))
+    body = F.lower(F.try_element_at("f", F.lit(-1)))
     body = F.replace(F.replace(body, F.lit(" "), F.lit("_")), F.lit("|"), F.lit(" ")) if segments else body
-    return f.select(F.col("f")[0].alias("id"), F.filter(F.split(body, " "), lambda w: w != "").alias("units"))
+    return f.select(F.get("f", F.lit(0)).alias("id"), F.filter(F.split(body, " "), lambda w: w != "").alias("units"))
 
 
 def tagged_lines(spark: SparkSession, path: str) -> DataFrame:
     """(id, tokens array<struct<word,tag>>) of lines `id TAB word/TAG word/TAG`; lines with a foreign word are left out."""
     f = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 2)
     token = lambda w: F.struct(F.regexp_extract(w, "^(.*)/([^/]*)$", 1).alias("word"), F.regexp_extract(w, "^(.*)/([^/]*)$", 2).alias("tag"))
-    t = f.select(F.col("f")[0].alias("id"), F.transform(F.filter(F.split(F.element_at("f", -1), " "), lambda w: F.contains(w, F.lit("/"))), token).alias("tokens"))
+    t = f.select(F.get("f", F.lit(0)).alias("id"), F.transform(F.filter(F.split(F.try_element_at("f", F.lit(-1)), " "), lambda w: F.contains(w, F.lit("/"))), token).alias("tokens"))
     return t.where(~F.exists("tokens", lambda x: x["tag"].startswith("FW")))
 
 
@@ -60,14 +60,14 @@ def four_way_lines(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 2)
     cut = "^(.*)/([^/]*)/([^/]*)/([^/]*)$"
     token = lambda w: F.struct(*(F.regexp_extract(w, cut, k).alias(n) for k, n in ((1, "word"), (2, "ne"), (3, "pos"), (4, "evt"))))
-    return f.select(F.col("f")[0].alias("id"), F.transform(F.filter(F.split(F.element_at("f", -1), " "), lambda w: w.rlike(cut)), token).alias("tokens"))
+    return f.select(F.get("f", F.lit(0)).alias("id"), F.transform(F.filter(F.split(F.try_element_at("f", F.lit(-1)), " "), lambda w: w.rlike(cut)), token).alias("tokens"))
 
 
 def chunked_lines(spark: SparkSession, path: str) -> DataFrame:
     """(id, words, phrases array<struct<st,ed>>) of lines `id TAB [NP the house ] stands`: a bracket opens or closes a phrase."""
     f = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 2)
-    pieces = F.filter(F.split(F.element_at("f", -1), " "), lambda w: w != "")
-    t = f.select(F.col("f")[0].alias("id"), pieces.alias("p"))
+    pieces = F.filter(F.split(F.try_element_at("f", F.lit(-1)), " "), lambda w: w != "")
+    t = f.select(F.get("f", F.lit(0)).alias("id"), pieces.alias("p"))
     word = lambda w: ~w.startswith("[") & (w != "]")
     before = lambda i: F.size(F.filter(F.slice("p", F.lit(1), i), word))
     places = lambda test: F.filter(F.transform("p", lambda w, i: F.when(test(w), before(i))), lambda x: x.isNotNull())
@@ -79,13 +79,13 @@ def parses(spark: SparkSession, path: str) -> DataFrame:
     """(record, idx, word, tag, parent, rel) of parses with four columns a token and an empty line after each text."""
     r = spark.read.option("lineSep", "\n\n").text(path).select(F.monotonically_increasing_id().alias("record"), "value").where(F.trim("value") != "")
     t = r.select("record", F.posexplode(F.filter(F.split("value", "\n"), lambda w: w != "")).alias("idx", "line")).select("record", "idx", F.split("line", "\t").alias("f"))
-    return t.where(F.size("f") >= 4).select("record", "idx", F.col("f")[0].alias("word"), F.col("f")[1].alias("tag"), F.expr("try_cast(f[2] as int)").alias("parent"), F.col("f")[3].alias("rel"))
+    return t.where(F.size("f") >= 4).select("record", "idx", F.get("f", F.lit(0)).alias("word"), F.get("f", F.lit(1)).alias("tag"), F.get("f", F.lit(2)).try_cast("int").alias("parent"), F.get("f", F.lit(3)).alias("rel"))
 
 
 def arpa(spark: SparkSession, path: str) -> DataFrame:
     """(n, gram, logp, backoff) of a language model in ARPA form. check_arpa compares the counts with the header."""
     t = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(F.size("f") >= 2)
-    t = t.select(F.expr("try_cast(f[0] as double)").alias("logp"), F.trim(F.col("f")[1]).alias("gram"), F.expr("try_cast(get(f, 2) as double)").alias("backoff")).where("logp is not null")
+    t = t.select(F.get("f", F.lit(0)).try_cast("double").alias("logp"), F.trim(F.get("f", F.lit(1))).alias("gram"), F.get("f", F.lit(2)).try_cast("double").alias("backoff")).where("logp is not null")
     return t.select(F.size(F.split("gram", " ")).alias("n"), "gram", "logp", "backoff")
 
 
@@ -100,19 +100,19 @@ def check_arpa(spark: SparkSession, path: str) -> DataFrame:
 def scored_grams(spark: SparkSession, path: str) -> DataFrame:
     """(gram, logp) of lines `logp gram`."""
     t = spark.read.text(path).select(F.split("value", " ", 2).alias("f")).where(F.size("f") == 2)
-    return t.select(F.col("f")[1].alias("gram"), F.expr("try_cast(f[0] as double)").alias("logp")).where("logp is not null")
+    return t.select(F.get("f", F.lit(1)).alias("gram"), F.get("f", F.lit(0)).try_cast("double").alias("logp")).where("logp is not null")
 
 
 def probabilities(spark: SparkSession, path: str) -> DataFrame:
     """(unit, ps) of lines `prob TAB unit`."""
     t = spark.read.text(path).select(F.split("value", "\t", 2).alias("f")).where(F.size("f") == 2)
-    return t.select(F.col("f")[1].alias("unit"), F.expr("try_cast(f[0] as double)").alias("ps")).where("ps is not null")
+    return t.select(F.get("f", F.lit(1)).alias("unit"), F.get("f", F.lit(0)).try_cast("double").alias("ps")).where("ps is not null")
 
 
 def vectors(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
     """(unit, vector) of lines `unit x1 x2 ...` under a header `n dim`; lines of another length are left out. only: (unit)."""
     lines = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("f"))
-    t = lines.where(F.size("f") > 2).select(F.col("f")[0].alias("unit"), F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x.try_cast("float")).alias("vector"))
+    t = lines.where(F.size("f") > 2).select(F.get("f", F.lit(0)).alias("unit"), F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x.try_cast("float")).alias("vector"))
     t = t.where(~F.exists("vector", lambda x: x.isNull()))
     return t.join(only.select("unit"), "unit", "left_semi") if only is not None else t
 
@@ -120,7 +120,7 @@ def vectors(spark: SparkSession, path: str, only: DataFrame | None = None) -> Da
 def relation_rows(spark: SparkSession, path: str) -> DataFrame:
     """(id, relations) of extractor rows `id TAB arg1 TAB rel TAB arg2 ...`: the relations of one id in the order of the rows."""
     t = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", "\t").alias("f")).where(F.size("f") >= 4)
-    t = t.select("at", F.col("f")[0].alias("id"), F.concat_ws("|", F.col("f")[1], F.col("f")[2], F.col("f")[3]).alias("r"))
+    t = t.select("at", F.get("f", F.lit(0)).alias("id"), F.concat_ws("|", F.get("f", F.lit(1)), F.get("f", F.lit(2)), F.get("f", F.lit(3))).alias("r"))
     return t.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("relations"))
 
 
@@ -132,13 +132,13 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
 def pair_list(spark: SparkSession, path: str, separator: str = "  -   ") -> DataFrame:
     """(word, meaning) of a list of pairs such as slang and its meaning."""
     t = spark.read.text(path).select(F.split("value", separator, 2).alias("f")).where(F.size("f") == 2)
-    return t.select(F.lower(F.trim(F.col("f")[0])).alias("word"), F.trim(F.col("f")[1]).alias("meaning"))
+    return t.select(F.lower(F.trim(F.get("f", F.lit(0)))).alias("word"), F.trim(F.get("f", F.lit(1))).alias("meaning"))
 
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, tag, ratio) of lines with `###tag###ratio###...`."""
     t = spark.read.text(path).where(F.contains("value", F.lit("###"))).select(F.col("value").alias("line"), F.split("value", "###").alias("f")).where(F.size("f") >= 3)
-    return t.select("line", F.col("f")[1].alias("tag"), F.expr("try_cast(f[2] as double)").alias("ratio"))
+    return t.select("line", F.get("f", F.lit(1)).alias("tag"), F.get("f", F.lit(2)).try_cast("double").alias("ratio"))
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
