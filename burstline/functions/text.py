@@ -20,6 +20,11 @@ ZODIAC = (
 ).split()
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once: a name inside an expression, which Catalyst would otherwise write out at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Lower case, `|` read as a space, cut at white space, empty pieces dropped."""
     return F.filter(F.split(F.replace(F.lower(text), F.lit("|"), F.lit(" ")), "[ \t\r\n]+"), lambda w: F.length(w) >= 1)

@@ -12,6 +12,7 @@ from burstline.functions import text as T
 from burstline.operators import similarity as S
 from burstline.operators import units as U
 from burstline.operators.evaluate import overlap_join, recall_precision
+from burstline.session import ensure_checkpoint_dir
 from burstline.sources.tables import table
 
 CFG = Config()
@@ -135,11 +136,17 @@ def word_df_by_window(spark, d):
 
 
 def _vectors(spark, d, cfg, whole_day=False):
-    words = _words_of(spark, d)
-    bursty = _bursty_words(spark, d, cfg)
+    """The bursty units are few and used by every later step, so their plan is cut; so are their contexts, the tweets that
+    hold one. Words are looked at in those tweets only, while their frequency is over all."""
+    ensure_checkpoint_dir(spark)
+    bursty = _bursty_words(spark, d, cfg).checkpoint()
     rows = word_rows(spark, d)
-    vectors = S.tfidf_vectors(S.contexts(rows, bursty), words, S.word_frequency(words), U.window_sizes(tweets(spark, d)), whole_day)
-    return vectors, U.sub_window_weights(rows, bursty), bursty
+    used = rows.join(bursty.select("tw", "unit"), ["tw", "unit"], "left_semi").checkpoint()
+    ctx = S.contexts(used, bursty)
+    words = _words_of(spark, d)
+    involved = words.join(used.select("tw", "tid").distinct(), ["tw", "tid"], "left_semi")
+    vectors = S.tfidf_vectors(ctx, involved, S.word_frequency(words), U.window_sizes(tweets(spark, d)), whole_day)
+    return vectors, U.sub_window_weights(used, bursty), bursty
 
 
 #: Smaller budgets for the pair queries, so that the SQL beside them ends in seconds; all windows and all tweets.
@@ -188,7 +195,7 @@ def newsworthiness(spark, d):
 
 def _clusters(spark, d, cfg=CFG):
     pairs, bursty = _pairs(spark, d, cfg.similarity, cfg)
-    return S.greedy_clusters(bursty, S.mutual(S.nearest(pairs, cfg.k))), bursty
+    return S.greedy_clusters(bursty, S.mutual(S.nearest(pairs, cfg.k).checkpoint())).checkpoint(), bursty
 
 
 def event_clusters(spark, d):
@@ -218,7 +225,7 @@ def event_ratio_histogram(spark, d):
 
 def event_recall(spark, d):
     """Recall and precision of the kept events against the gold events: two common lemmas or more make a match."""
-    members = event_members(spark, d).withColumn("event", F.concat_ws("-", "tw", "event_id"))
+    members = event_members(spark, d).withColumn("event", F.concat_ws("-", "tw", "event_id")).checkpoint()
     gold = table(spark, d, "gold_events").where("lemmas is not null")
     matches = overlap_join(members, "event", "members", gold, "gold_id", "lemmas", CFG.common_lemmas)
     n_gold, n_events = (x.agg(F.count("*").alias("n")).scalar() for x in (gold, members))

@@ -11,7 +11,7 @@ from burstline.operators.graph import connected_components
 from burstline.sources.tables import table
 
 from . import detect as D
-from .detect import BURST, PIECES, USERS, WORDS, _ranked
+from .detect import BURST, PIECES, STOP, USERS, WORDS, _ranked
 from .detect import TWEETS as BASE
 
 
@@ -144,9 +144,49 @@ def frame_components(spark, d):
     return connected_components(f.select("f.arg1", "f.arg2"), "arg1", "arg2")
 
 
+def units_of_last_day(spark, d):
+    """Mean probability over all days, of the units that the last day has."""
+    rows = D.word_rows(spark, d)
+    sizes, df = D.U.window_sizes(D.tweets(spark, d)), D.U.document_frequency(rows)
+    last = sizes.agg(F.max("tw").alias("m")).scalar()
+    p = df.join(F.broadcast(sizes), "tw").groupBy("unit").agg(F.round(F.avg(F.col("df") / F.col("n_t")), 6).alias("ps"), F.count("*").alias("days"), F.max("tw").alias("latest"))
+    return p.where(F.col("latest") == last).select("unit", "ps", "days")
+
+
+def frequency_series(spark, d):
+    """The frequency of each lemma of the gold events on each day that has it, as a list in the order of days."""
+    lemmas = table(spark, d, "gold_events").where("lemmas is not null").select(F.explode("lemmas").alias("unit")).distinct()
+    df = D.U.document_frequency(D.word_rows(spark, d).join(lemmas, "unit", "left_semi"))
+    return df.groupBy("unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tw", "df"))), lambda x: F.concat_ws(":", x["tw"].cast("string"), x["df"].cast("string"))), " ").alias("series"))
+
+
+def predefined_probability(spark, d):
+    """Probability of given units only, cash tags among them: the average over all days, days without them counted."""
+    t = D.tweets(spark, d)
+    days = t.where("tw is not null").agg(F.count_distinct("tw").alias("n")).scalar()
+    df = D.U.document_frequency(D.word_rows(spark, d).where(F.col("unit").startswith("$")))
+    return df.join(F.broadcast(D.U.window_sizes(t)), "tw").groupBy("unit").agg(F.round(F.sum(F.col("df") / F.col("n_t")) / days, 8).alias("mean"))
+
+
+def merged_units(spark, d):
+    """Words and frames of a tweet in one text: both joined; frames alone stay; words alone are left out."""
+    f = table(spark, d, "frames").where("frames is not null").select("id_str", F.explode("frames").alias("f")).where("f.verb <> ''")
+    frames = f.groupBy("id_str").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", F.coalesce("f.arg1", F.lit("")), "f.verb", F.coalesce("f.arg2", F.lit(""))))), " ").alias("frames"))
+    words = D.tweets(spark, d).where("text is not null").select("id_str", F.array_join(T.without(T.words(F.col("text"))), " ").alias("words"))
+    return frames.join(words, "id_str", "left").select("id_str", F.concat_ws(" ", "words", "frames").alias("units"))
+
+
+def sub_window_counts(spark, d):
+    """Tweets by day and two-hour window, with the share of the day."""
+    t = D.tweets(spark, d).where("ts is not null")
+    n = t.groupBy(F.to_date("ts").alias("tw"), T.sub_window(F.col("ts")).alias("subtw")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("tw")), 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        units_of_last_day, frequency_series, predefined_probability, merged_units, sub_window_counts,
         gold_tweets, gold_headlines, headline_recall, label_precision, duplicate_rate, annotator_agreement, label_disagreements, gold_coverage, compare_lists, interleaved_lists,
         frames_of_element, element_back_mapping, frequent_verbs, frame_arity, bursty_frames, relation_pairs, skeleton_frequency, frame_components,
     )
@@ -158,7 +198,13 @@ TWO = f"WITH {BASE}, {WORDS}, {BURST}, {USERS}, wu AS (SELECT burst.*, users, pb
 FOE = f"{FR}, e AS (SELECT coalesce(f.arg1, '') || '|' || coalesce(f.verb, '') || '|' || coalesce(f.arg2, '') AS frame, unnest(list_distinct([f.arg1, f.verb, f.arg2])) AS element FROM fr), c AS (SELECT element, frame, count(*) AS n FROM e WHERE element <> '' GROUP BY ALL), foe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY element ORDER BY n DESC, frame) AS rk FROM c) WHERE rk <= 10)"
 HW = f"{PIECES.replace('text', 'headline')}"
 PAIRS = f"{FR}, rel AS (SELECT DISTINCT tw, id_str AS tid, f.verb AS u FROM fr WHERE f.verb <> ''), pairs AS (SELECT a.tw, a.tid, a.u AS a, b.u AS b FROM rel a JOIN rel b ON a.tw = b.tw AND a.tid = b.tid AND a.u < b.u)"
+UNITS = f"WITH {BASE}, {WORDS}, df AS (SELECT unit, tw, count(*) AS df FROM rows_ GROUP BY unit, tw)"
 SQL = {
+    "units_of_last_day": f"{UNITS} SELECT unit, round(avg(df / n_t), 6) AS ps, count(*) AS days FROM df JOIN n USING (tw) GROUP BY unit HAVING max(tw) = (SELECT max(tw) FROM n)",
+    "frequency_series": f"{UNITS}, l AS (SELECT DISTINCT unnest(lemmas) AS unit FROM gold_events) SELECT unit, string_agg(tw::VARCHAR || ':' || df, ' ' ORDER BY tw) AS series FROM df JOIN l USING (unit) GROUP BY unit",
+    "predefined_probability": f"{UNITS} SELECT unit, round(sum(df / n_t) / (SELECT count(DISTINCT tw) FROM t WHERE tw IS NOT NULL), 8) AS mean FROM df JOIN n USING (tw) WHERE starts_with(unit, '$') GROUP BY unit",
+    "merged_units": f"WITH {BASE}, {FR}, g AS (SELECT id_str, string_agg(coalesce(f.arg1, '') || '|' || f.verb || '|' || coalesce(f.arg2, ''), ' ' ORDER BY coalesce(f.arg1, '') || '|' || f.verb || '|' || coalesce(f.arg2, '')) AS frames FROM fr WHERE f.verb <> '' GROUP BY id_str), w AS (SELECT id_str, array_to_string(list_filter({PIECES}, lambda x: NOT list_contains({STOP}, x)), ' ') AS words FROM t WHERE text IS NOT NULL) SELECT g.id_str, concat_ws(' ', words, frames) AS units FROM g LEFT JOIN w USING (id_str)",
+    "sub_window_counts": f"WITH {BASE}, e AS (SELECT ts::DATE AS tw, (hour(ts) // 2 + 1)::INT AS subtw, count(*) AS n FROM t WHERE ts IS NOT NULL GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY tw), 6) AS share FROM e",
     "gold_tweets": f"WITH {BASE}, g AS (SELECT gold_id, tw, unnest(list_distinct(lemmas)) AS w FROM gold_events), x AS (SELECT id_str, tw, unnest(list_distinct({PIECES})) AS w FROM t WHERE text IS NOT NULL AND tw IS NOT NULL) SELECT gold_id, id_str, count(*) AS common FROM g JOIN x USING (tw, w) GROUP BY ALL HAVING count(*) >= 2",
     "gold_headlines": f"WITH g AS (SELECT gold_id, tw, unnest(lemmas) AS w FROM gold_events), x AS (SELECT news_id, tw, unnest(list_distinct({HW})) AS w FROM news WHERE headline IS NOT NULL) SELECT gold_id, news_id, count(*) AS common FROM g JOIN x USING (tw, w) GROUP BY ALL HAVING count(*) >= 2",
     "headline_recall": f"WITH g AS (SELECT gold_id, unnest(list_distinct(lemmas)) AS w FROM gold_events), x AS (SELECT news_id, unnest(list_distinct({HW})) AS w FROM news WHERE headline IS NOT NULL), m AS (SELECT gold_id, news_id FROM g JOIN x USING (w) GROUP BY ALL HAVING count(*) >= 2), s AS (SELECT count(DISTINCT gold_id) AS gm, count(DISTINCT news_id) AS em FROM m) SELECT gm AS gold_matched, em AS events_matched, round(gm / (SELECT count(*) FROM gold_events WHERE lemmas IS NOT NULL), 6) AS recall, round(em / (SELECT count(*) FROM news WHERE headline IS NOT NULL), 6) AS precision FROM s",

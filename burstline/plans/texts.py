@@ -14,9 +14,12 @@ from .detect import PIECES, STOP, TWEETS, tweets
 
 def clean_words(spark, d):
     """The cleaned words of each tweet; tweets of which nothing is left, or a single tag, are dropped."""
-    ws = tweets(spark, d).select("id_str", T.clean(F.col("text")).alias("ws"))
-    normal = F.filter("ws", lambda w: ~w.startswith("@") & ~F.contains(w, F.lit("http")) & (F.upper(w) != "RT"))
-    return ws.where((F.size(normal) >= 1) & ~((F.size("ws") == 1) & F.element_at("ws", 1).startswith("#"))).select("id_str", F.array_join("ws", " ").alias("cleaned"))
+
+    def kept(ws):
+        normal = F.filter(ws, lambda w: ~w.startswith("@") & ~F.contains(w, F.lit("http")) & (F.upper(w) != "RT"))
+        return F.when((F.size(normal) >= 1) & ~((F.size(ws) == 1) & F.element_at(ws, 1).startswith("#")), F.array_join(ws, " "))
+
+    return tweets(spark, d).select("id_str", T.once(T.clean(F.col("text")), kept).alias("cleaned")).where("cleaned is not null")
 
 
 def printable_texts(spark, d):
