@@ -291,7 +291,7 @@ def similar_sets(sets: DataFrame, n_rows: int, p: Params) -> DataFrame:
     buckets = max(16, math.ceil(n_rows * p.bands / p.bucket_entries))
     hashed = sets.select("g", _hashes("words").alias("hs"))
     blobs = hashed.mapInArrow(_band_blobs(buckets, p), "bucket int, blob binary")
-    met = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(p), "kind int, a long, b long")
+    met = blobs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(p), "kind int, a long, b long")
     pairs = met.where("kind = 0").select("a", "b").distinct()
     sketch = _Sketch(p)
     small = sets.select("g", F.size(F.split("words", " ")).alias("m"), sketch.of(_hashes("words")).alias("reg"))
