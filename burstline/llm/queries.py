@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstline.sources.tables import table
@@ -14,7 +14,7 @@ def _tweets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tweets")
 
 
-def _with_text(recs: DataFrame):
+def _with_text(recs: DataFrame) -> Column:
     """The number of records with a non-null text, as a scalar subquery."""
     return recs.where(F.col("text").isNotNull()).agg(F.count("*").alias("n")).scalar()
 
@@ -76,7 +76,7 @@ def p3_best_by_divergence(spark: SparkSession, d: str) -> DataFrame:
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     t = _tweets(spark, d)
     tags = F.transform(F.coalesce("hashtags", F.expr("cast(array() as array<struct<text:string>>)")), lambda x: F.concat(F.lit("#"), F.lower(x["text"])))
     names = F.transform(
@@ -147,14 +147,16 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str, together: bool) -> DataFrame:
     docs = table(spark, d, "documents")
-    bins = sorted({(r["tokenizer"], r["capacity"]) for r in table(spark, d, "token_bins").select("tokenizer", "capacity").distinct().limit(1000).collect()})
+    bins = [tuple(r) for r in table(spark, d, "token_bins").groupBy("tokenizer", "capacity").agg(F.min("bin_id")).orderBy("capacity").limit(1000).collect()]
     name = bins[0][0]
-    if any(t != name for t, _ in bins):
+    if any(t != name for t, _, _ in bins):
         raise ValueError("containers of one call share a tokenizer")
-    capacities = [c for _, c in bins]
+    capacities = [c for _, c, _ in bins]
     plans = [capacities] if together else [[c] for c in capacities]
     sizes = bpe.token_lengths(docs.where(F.col("text") != ""), "doc_id", "text", name)
-    return packing.pack_table(sizes, "doc_id", "n_tokens", plans, docs.count())
+    number = F.create_map(*(F.lit(x) for _, c, b in bins for x in (c, b)))
+    placed = packing.pack_table(sizes, "doc_id", "n_tokens", plans, docs.count())
+    return placed.select(F.element_at(number, F.col("capacity")).alias("bin_id"), *placed.columns)
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:

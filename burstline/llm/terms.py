@@ -84,7 +84,7 @@ def mark_terms(counts: DataFrame, n_records: Column, rare: int = 2, common: floa
 
     In a collection so small that a term is both, it is rare.
     """
-    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") >= F.lit(common) * n_records, "common")
+    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") >= F.lit(common) * n_records - 1e-9, "common")
     return counts.withColumn("mark", mark)
 
 
