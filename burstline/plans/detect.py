@@ -149,34 +149,39 @@ def _vectors(spark, d, cfg, whole_day=False):
     return vectors, U.sub_window_weights(used, bursty), bursty
 
 
-#: Smaller budgets for the pair queries, so that the SQL beside them ends in seconds; all windows and all tweets.
+#: What the SQL of the queries without _full states: 25 units a window only. The _full ones have the operator's budget.
 FEW = Config(budget=25)
 
 
-def tfidf_vectors(spark, d):
-    return _rounded(_vectors(spark, d, FEW)[0], "w", "norm")
+def _vector_query(spark, d, cfg):
+    return _rounded(_vectors(spark, d, cfg)[0], "w", "norm")
 
 
-def _pairs(spark, d, mode, cfg=FEW):
+def _pairs(spark, d, mode, cfg):
     vectors, shares, bursty = _vectors(spark, d, cfg, mode == "text")
     return S.pair_similarity(S.cosines(vectors), shares, mode), bursty
 
 
-def _pair_query(spark, d, mode):
-    return _rounded(_pairs(spark, d, mode)[0], "sim")
+def _pair_query(spark, d, mode, cfg):
+    return _rounded(_pairs(spark, d, mode, cfg)[0], "sim")
 
 
-pair_similarity_g4 = partial(_pair_query, mode="g4")
-pair_similarity_g2 = partial(_pair_query, mode="g2")
-pair_similarity_text = partial(_pair_query, mode="text")
+def _nearest_query(spark, d, cfg):
+    return _rounded(S.nearest(_pairs(spark, d, "text", cfg)[0], CFG.k), "sim")
 
 
-def nearest_neighbours(spark, d):
-    return _rounded(S.nearest(_pairs(spark, d, "text")[0], CFG.k), "sim")
+def _mutual_query(spark, d, cfg):
+    return _rounded(S.mutual(S.nearest(_pairs(spark, d, "text", cfg)[0], CFG.k)), "sim")
 
 
-def mutual_neighbours(spark, d):
-    return _rounded(S.mutual(S.nearest(_pairs(spark, d, "text")[0], CFG.k)), "sim")
+PAIR_QUERIES = {
+    "tfidf_vectors": _vector_query,
+    "pair_similarity_g4": partial(_pair_query, mode="g4"),
+    "pair_similarity_g2": partial(_pair_query, mode="g2"),
+    "pair_similarity_text": partial(_pair_query, mode="text"),
+    "nearest_neighbours": _nearest_query,
+    "mutual_neighbours": _mutual_query,
+}
 
 
 def gram_table(spark, d):
@@ -236,10 +241,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_frequency, window_sizes, unit_probability, users_per_unit, burst_words_topk, burst_elements_topk, burst_weighted_users, burst_z_users,
-        burst_two_list, burst_event_types, cluster_frequency, top_lexical_burst, sub_window_weights, word_df_by_window, tfidf_vectors, nearest_neighbours,
-        mutual_neighbours, gram_table, newsworthiness, event_clusters, event_scores, event_members, event_ratio_histogram, event_recall,
+        burst_two_list, burst_event_types, cluster_frequency, top_lexical_burst, sub_window_weights, word_df_by_window, gram_table, newsworthiness, event_clusters, event_scores, event_members, event_ratio_histogram, event_recall,
     )
-} | {"pair_similarity_g4": pair_similarity_g4, "pair_similarity_g2": pair_similarity_g2, "pair_similarity_text": pair_similarity_text}
+}
+QUERIES |= {name: partial(f, cfg=FEW) for name, f in PAIR_QUERIES.items()} | {f"{name}_full": partial(f, cfg=CFG) for name, f in PAIR_QUERIES.items()}
 
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------
@@ -313,3 +318,5 @@ SQL = {
     "gram_table": f"WITH {GRAMS} SELECT gram, logp FROM grams",
     "newsworthiness": f"{W}, {GRAMS}, u AS (SELECT DISTINCT unit FROM rows_) SELECT unit, round(exp(logp), 6) AS news FROM u JOIN grams ON gram = unit",
 }
+#: The same statements over the operator's own budget of units.
+SQL |= {f"{name}_full": SQL[name].replace(_ranked("burst", "z", "25"), _ranked("burst", "z", G4)) for name in PAIR_QUERIES}
