@@ -100,14 +100,14 @@ def llr(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     return 2.0 * total
 
 
-def together(baskets: DataFrame, items: str, n: Column, min_count: int = 6, significance: float = 3.841, parts: int = 64, hold: int = 200_000) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b, lift, llr) with item_a < item_b, of pairs found together in min_count records
-    or more whose log-likelihood ratio reaches `significance` (3.841: 5 %).
+def all_pairs(baskets: DataFrame, items: str, n: Column, min_count: int = 1, significance: float = 3.841, parts: int = 64, hold: int = 200_000) -> DataFrame:
+    """(item_a, item_b, n_ab, n_a, n_b, lift, llr, exceeds) with item_a < item_b, of pairs found together in min_count
+    records or more; exceeds: whether they do so more often than by chance (a lift over 1) and their log-likelihood ratio
+    reaches `significance` (3.841: 5 %).
 
     baskets has one row per record, items an array without repeats; null and single-item arrays count for n_a only.
     An item that holds a third of all records has its stripe cut into `parts` by the other item, so that no task gets
-    an unbounded array; counts are combined in the task before the shuffle. With n_ab >= 6 and a lift of 5 or more
-    G2 is at least 2 * 6 * (ln 5 - 1 + 1/5) = 9.7, so at that threshold the test drops none of them.
+    an unbounded array; counts are combined in the task before the shuffle.
     """
     lists = baskets.select(F.filter(F.col(items), lambda x: x.isNotNull()).alias("items"))
     singles = lists.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n_i"))
@@ -119,7 +119,15 @@ def together(baskets: DataFrame, items: str, n: Column, min_count: int = 6, sign
         singles.select(F.col("item").alias("item_b"), F.col("n_i").alias("n_b")), "item_b"
     )
     n_ab, n_a, n_b = F.col("n_ab"), F.col("n_a"), F.col("n_b")
-    return (
-        counted.select("item_a", "item_b", "n_ab", "n_a", "n_b", (n_ab * n / (n_a * n_b)).alias("lift"), llr(n_ab, n_a, n_b, n).alias("llr"))
-        .where((F.col("llr") >= significance) & (n_ab * n > n_a * n_b))
-    )
+    exceeds = (F.col("llr") >= significance) & (n_ab * n > n_a * n_b)
+    scored = counted.select("item_a", "item_b", "n_ab", "n_a", "n_b", (n_ab * n / (n_a * n_b)).alias("lift"), llr(n_ab, n_a, n_b, n).alias("llr"))
+    return scored.withColumn("exceeds", exceeds)
+
+
+def together(baskets: DataFrame, items: str, n: Column, min_count: int = 6, significance: float = 3.841, parts: int = 64, hold: int = 200_000) -> DataFrame:
+    """The rows of all_pairs of min_count records or more that exceed chance, without the column that says so.
+
+    With n_ab >= 6 and a lift of 5 or more G2 is at least 2 * 6 * (ln 5 - 1 + 1/5) = 9.7, so at that threshold the test
+    drops none of them.
+    """
+    return all_pairs(baskets, items, n, min_count, significance, parts, hold).where("exceeds").drop("exceeds")

@@ -76,7 +76,7 @@ def p3_best_by_divergence(spark: SparkSession, d: str) -> DataFrame:
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+def _baskets(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     t = _tweets(spark, d)
     tags = F.transform(F.coalesce("hashtags", F.expr("cast(array() as array<struct<text:string>>)")), lambda x: F.concat(F.lit("#"), F.lower(x["text"])))
     names = F.transform(
@@ -86,16 +86,24 @@ def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     items = F.array_distinct(F.filter(F.concat(tags, names), lambda x: x.isNotNull()))
     one = t.where(F.col("id_str").isNotNull()).groupBy("id_str").agg(F.max(items).alias("items"))
     n = one.agg(F.count("*").alias("n")).scalar()
-    return cooccur.together(one, "items", n), n
+    return one, n
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _ = _pairs(spark, d)
-    return pairs.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
+    """The pairs of six tweets or more that exceed chance, as their SQL states; p4_all_pairs has every pair."""
+    one, n = _baskets(spark, d)
+    return cooccur.together(one, "items", n).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
+
+
+def p4_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with its count, how far it exceeds chance, and whether it clearly does."""
+    one, n = _baskets(spark, d)
+    return cooccur.all_pairs(one, "items", n).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, n = _pairs(spark, d)
+    one, n = _baskets(spark, d)
+    pairs = cooccur.together(one, "items", n)
     return pairs.where(F.col("n_ab") * n >= 5 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 
@@ -192,4 +200,4 @@ def p10_make_up(spark: SparkSession, d: str) -> DataFrame:
     return subjects.make_up(p10_subjects(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p5_found, p5_segments, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill, p10_found, p10_subjects, p10_make_up)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_counts, p3_found, p3_scores, p3_best_by_divergence, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_segments, p7_found, p7_groups, p8_ids, p8_decoded, p9_containers, p9_tiers, p9_fill, p10_found, p10_subjects, p10_make_up)}
