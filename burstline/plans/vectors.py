@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from burstline.config import Config
-from burstline.functions.math import cosine, hamming
+from burstline.functions.math import cosine, dot, hamming
 from burstline.operators import lsh as L
 from burstline.operators.graph import connected_components
 from burstline.sources.tables import table
 
 CFG = Config()
 DIM = 64
+#: Blocks that the vectors are cut into where all are compared: the cells of two blocks are the tasks' shares.
+BLOCKS = 16
+
+
+def _all_pairs(df):
+    """The pairs of all rows by id, the least id first: columns c of df as c_a and c_b. Every block meets every block."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    cut = df.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")).withColumn("_other", each)
+    a = cut.select(*(F.col(c).alias(f"{c}_a") for c in df.columns), F.col("_own").alias("_x"), F.col("_other").alias("_y"))
+    b = cut.select(*(F.col(c).alias(f"{c}_b") for c in df.columns), F.col("_other").alias("_x"), F.col("_own").alias("_y"))
+    return a.join(b, ["_x", "_y"]).where("id_a < id_b")
 
 
 def cosine_pairs(spark, d):
@@ -22,15 +33,32 @@ def cosine_pairs(spark, d):
     return met.where("cos >= 0.3")
 
 
+def cosine_pairs_full(spark, d):
+    """Any two vectors with a cosine of 0.3 or more, whatever their labels."""
+    v = F.col("embedding")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), v.alias("v"), F.sqrt(dot(v, v)).alias("norm"))
+    cos = F.coalesce(F.try_divide(dot(F.col("v_a"), F.col("v_b")), F.col("norm_a") * F.col("norm_b")), F.lit(0.0))
+    return _all_pairs(e).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(cos, 4).alias("cos")).where("cos >= 0.3")
+
+
 def label_centroids(spark, d):
     """The mean vector of each label, element by element."""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
     return e.groupBy("label", "k").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
+def _histogram(pairs):
+    return pairs.groupBy(F.format_string("%.1f", F.floor(F.col("cos") * 10) / 10).alias("cos")).agg(F.count("*").alias("n"))
+
+
 def similarity_histogram(spark, d):
     """Pairs of one label by cosine to one decimal."""
-    return cosine_pairs(spark, d).groupBy(F.format_string("%.1f", F.floor(F.col("cos") * 10) / 10).alias("cos")).agg(F.count("*").alias("n"))
+    return _histogram(cosine_pairs(spark, d))
+
+
+def similarity_histogram_full(spark, d):
+    """Pairs of all vectors by cosine to one decimal."""
+    return _histogram(cosine_pairs_full(spark, d))
 
 
 def _signed(spark, d):
@@ -43,16 +71,15 @@ def lsh_candidates(spark, d):
 
 
 def hamming_pairs(spark, d):
-    """Exact similarity of the signatures of one label."""
-    s = _signed(spark, d)
-    a, b = s.toDF("a", "label", "sa"), s.toDF("b", "label", "sb")
-    h = a.join(b, "label").where("a < b").withColumn("hamming", hamming(F.col("sa"), F.col("sb")))
-    return h.select("a", "b", "hamming", F.round(L.similarity_of(F.col("hamming"), CFG.lsh_bits), 6).alias("similarity"))
+    """Exact similarity of the signatures of any two vectors."""
+    s = _signed(spark, d).select(F.col("vec_id").alias("id"), "sig")
+    h = _all_pairs(s).withColumn("hamming", hamming(F.col("sig_a"), F.col("sig_b")))
+    return h.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "hamming", F.round(L.similarity_of(F.col("hamming"), CFG.lsh_bits), 6).alias("similarity"))
 
 
 def vector_clusters(spark, d):
-    """Connected components over pairs of one label with a cosine of 0.3 or more."""
-    return connected_components(cosine_pairs(spark, d), "a", "b")
+    """Connected components over pairs of any two vectors with a cosine of 0.3 or more."""
+    return connected_components(cosine_pairs_full(spark, d), "a", "b")
 
 
 def frame_slot_matches(spark, d):
@@ -62,7 +89,7 @@ def frame_slot_matches(spark, d):
     return a.join(b, ["tw", "id_str"]).where("p < q").where(L.slot_match(F.col("fa"), F.col("fb"))).select("id_str", "p", "q")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, label_centroids, similarity_histogram, lsh_candidates, hamming_pairs, vector_clusters, frame_slot_matches)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, cosine_pairs_full, label_centroids, similarity_histogram, similarity_histogram_full, lsh_candidates, hamming_pairs, vector_clusters, frame_slot_matches)}
 PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
 SQL = {
     "cosine_pairs": f"WITH {PAIRS} SELECT * FROM p WHERE cos >= 0.3",
@@ -70,3 +97,5 @@ SQL = {
     "similarity_histogram": f"WITH {PAIRS} SELECT printf('%.1f', floor(cos * 10) / 10) AS cos, count(*) AS n FROM p WHERE cos >= 0.3 GROUP BY 1",
     "frame_slot_matches": "WITH f AS (SELECT tw, id_str, unnest(frames) AS f, (generate_subscripts(frames, 1) - 1)::INT AS p FROM frames WHERE frames IS NOT NULL) SELECT a.id_str, a.p AS p, b.p AS q FROM f a JOIN f b ON a.tw = b.tw AND a.id_str = b.id_str AND a.p < b.p WHERE (a.f.arg1 = b.f.arg1 AND a.f.arg1 <> '')::INT + (a.f.verb = b.f.verb AND a.f.verb <> '')::INT + (a.f.arg2 = b.f.arg2 AND a.f.arg2 <> '')::INT >= 2",
 }
+#: The same statements without the label.
+SQL |= {f"{name}_full": SQL[name].replace("a.label = b.label AND ", "") for name in ("cosine_pairs", "similarity_histogram")}

@@ -40,3 +40,16 @@ def test_pairs_of_all_units_of_the_budget(spark, ring):
 @pytest.mark.parametrize("name,column", [("tfidf_vectors", "seg_id"), ("pair_similarity_g4", "src"), ("pair_similarity_g2", "src"), ("nearest_neighbours", "node"), ("mutual_neighbours", "node")])
 def test_units_beyond_the_small_budget(spark, ring, name, column):
     assert max(r[column] for r in catalog.QUERIES[f"{name}_full"](spark, ring[0]).collect()) >= detect.FEW.budget
+
+
+def test_vectors_of_different_labels_meet(spark, tmp_path):
+    rows = [(k, [float(k % 3 == j) + 0.1 * (j == 3) for j in range(64)], f"l{k % 2}") for k in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    query = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    every = set(combinations(range(12), 2))
+    near = {(a, b) for a, b in every if a % 3 == b % 3}
+    assert {(r["a"], r["b"]) for r in query("hamming_pairs")} == every
+    got = query("cosine_pairs_full")
+    assert len(got) == len(near) and {(r["a"], r["b"]) for r in got} == near
+    assert {r["cos"]: r["n"] for r in query("similarity_histogram_full")} == {"1.0": len(near)}
+    assert {r["node"]: r["component"] for r in query("vector_clusters")} == {k: k % 3 for k in range(12)}
