@@ -93,9 +93,14 @@ def burst_z_users(spark, d):
     return _rounded(U.top_units(both, "weight", Config(budget=220)), "weight").select("tw", "unit", "df", "users", "weight", "rk")
 
 
-def burst_two_list(spark, d):
+def burst_two_list(spark, d, cfg=Config(budget=20)):
     both = _with_users(word_rows(spark, d), U.window_sizes(tweets(spark, d)))
-    return _rounded(U.two_list(both, Config(budget=20)), "z").select("tw", "unit", "users", "z", "rk")
+    return _rounded(U.two_list(both, cfg), "z").select("tw", "unit", "users", "z", "rk")
+
+
+def burst_two_list_full(spark, d):
+    """The two lists with the 220 units a window of the reference, where the SQL of burst_two_list states 20."""
+    return burst_two_list(spark, d, Config(budget=220))
 
 
 def burst_event_types(spark, d):
@@ -241,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_frequency, window_sizes, unit_probability, users_per_unit, burst_words_topk, burst_elements_topk, burst_weighted_users, burst_z_users,
-        burst_two_list, burst_event_types, cluster_frequency, top_lexical_burst, sub_window_weights, word_df_by_window, gram_table, newsworthiness, event_clusters, event_scores, event_members, event_ratio_histogram, event_recall,
+        burst_two_list, burst_two_list_full, burst_event_types, cluster_frequency, top_lexical_burst, sub_window_weights, word_df_by_window, gram_table, newsworthiness, event_clusters, event_scores, event_members, event_ratio_histogram, event_recall,
     )
 }
 QUERIES |= {name: partial(f, cfg=FEW) for name, f in PAIR_QUERIES.items()} | {f"{name}_full": partial(f, cfg=CFG) for name, f in PAIR_QUERIES.items()}
@@ -320,3 +325,4 @@ SQL = {
 }
 #: The same statements over the operator's own budget of units.
 SQL |= {f"{name}_full": SQL[name].replace(_ranked("burst", "z", "25"), _ranked("burst", "z", G4)) for name in PAIR_QUERIES}
+SQL["burst_two_list_full"] = SQL["burst_two_list"].replace("<= 40", "<= 440").replace("<= 20", "<= 220")

@@ -63,16 +63,16 @@ def gold_coverage(spark, d):
     return a.join(g, "id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-def _two_lists(spark, d):
+def _two_lists(spark, d, budget=10):
     rows = D.word_rows(spark, d)
     both = D._with_users(rows, D.U.window_sizes(D.tweets(spark, d))).withColumn("weight", F.col("pb") * F.log10("users"))
-    cfg = D.Config(budget=10)
+    cfg = D.Config(budget=budget)
     return D.U.top_units(both, "z", cfg), D.U.top_units(both, "weight", cfg)
 
 
-def compare_lists(spark, d):
+def compare_lists(spark, d, budget=10):
     """Units that two rankings of a window share, or that one of them alone has."""
-    z, w = _two_lists(spark, d)
+    z, w = _two_lists(spark, d, budget)
     a, b = z.select("tw", "unit", F.lit(True).alias("a")), w.select("tw", "unit", F.lit(True).alias("b"))
     side = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "z only").otherwise("weight only")
     return a.join(b, ["tw", "unit"], "full").select("tw", "unit", side.alias("side"))
@@ -85,6 +85,18 @@ def interleaved_lists(spark, d):
     return E.interleave(z.where(F.col("tw") == day), w.where(F.col("tw") == day), "rk", "unit", ("z", "weight"))
 
 
+def compare_lists_full(spark, d):
+    """The same with 220 units a list."""
+    return compare_lists(spark, d, 220)
+
+
+def interleaved_lists_full(spark, d):
+    """The lists of each day by turns, 220 units a list."""
+    z, w = _two_lists(spark, d, 220)
+    each = [x.select("tw", F.lit(name).alias("system"), F.col("rk").alias("rank"), F.col("unit").alias("value")) for name, x in (("z", z), ("weight", w))]
+    return each[0].unionByName(each[1]).withColumn("place", F.row_number().over(Window.partitionBy("tw").orderBy("rank", "system")))
+
+
 def frames_of_element(spark, d):
     """The ten most frequent frames of each element, and which of them is the most frequent."""
     f = table(spark, d, "frames").where("frames is not null").select(F.explode("frames").alias("f"))
@@ -188,6 +200,7 @@ QUERIES = {
     for f in (
         units_of_last_day, frequency_series, predefined_probability, merged_units, sub_window_counts,
         gold_tweets, gold_headlines, headline_recall, label_precision, duplicate_rate, annotator_agreement, label_disagreements, gold_coverage, compare_lists, interleaved_lists,
+        compare_lists_full, interleaved_lists_full,
         frames_of_element, element_back_mapping, frequent_verbs, frame_arity, bursty_frames, relation_pairs, skeleton_frequency, frame_components,
     )
 }

@@ -53,3 +53,13 @@ def test_vectors_of_different_labels_meet(spark, tmp_path):
     assert len(got) == len(near) and {(r["a"], r["b"]) for r in got} == near
     assert {r["cos"]: r["n"] for r in query("similarity_histogram_full")} == {"1.0": len(near)}
     assert {r["node"]: r["component"] for r in query("vector_clusters")} == {k: k % 3 for k in range(12)}
+
+
+def test_lists_of_all_units_and_days(spark, ring, folder):
+    assert len({r["unit"] for r in catalog.QUERIES["burst_two_list_full"](spark, ring[0]).collect()}) == UNITS
+    assert [r["side"] for r in catalog.QUERIES["compare_lists_full"](spark, ring[0]).collect()] == ["both"] * UNITS
+    turns = sorted((r["tw"], r["place"], r["system"]) for r in catalog.QUERIES["interleaved_lists_full"](spark, folder).collect())
+    days = {tw for tw, _, _ in turns}
+    assert len(days) > 1
+    for day in days:
+        assert [(p, s) for tw, p, s in turns if tw == day][:2] == [(1, "weight"), (2, "z")]
