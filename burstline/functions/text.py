@@ -77,15 +77,14 @@ def clean_word(w: Column) -> Column:
     """One word cleaned by its kind: link, mention, tag or plain; null where it is to be dropped."""
     mention = F.regexp_replace(F.regexp_extract(w, "(@.*)$", 1), "[^@a-zA-Z0-9_]", " ")
     tag = F.concat(F.lit("#"), strip_edges(F.regexp_replace(w, "^#+", "")))
-    plain = strip_edges(decode_entities(w))
     cleaned = (
         F.when(F.contains(w, F.lit("http")), valid_url(w))
         .when(F.contains(w, F.lit("@")), F.trim(mention))
         .when(only_punctuation(w) & (F.length(w) > 1), None)
-        .when(w.startswith("#"), F.when(F.length(tag) > 1, tag))
-        .otherwise(plain)
+        .when(w.startswith("#"), F.nullif(tag, F.lit("#")))
+        .otherwise(strip_edges(decode_entities(w)))
     )
-    return F.when((cleaned != "") & ~illegal(cleaned), cleaned)
+    return once(cleaned, lambda c: F.when((c != "") & ~illegal(c), c))
 
 
 def clean(text: Column) -> Column:
@@ -104,11 +103,11 @@ def mark_mentions(arr: Column) -> Column:
     return F.transform(arr, lambda w: F.when(w.startswith("@") & (F.length(w) > 1), "@usr").otherwise(F.replace(w, F.lit("|"), F.lit(""))))
 
 
-def grams(arr: Column, least: int = 2, most: int = 5, glue: str = " ") -> Column:
+def grams(arr: Column, least: int = 2, most: int | Column = 5, glue: str = " ") -> Column:
     """All runs of least to most words of an array, joined."""
 
     def at(i: Column) -> Column:
-        lengths = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: i + n - 1 <= F.size(arr))
+        lengths = F.filter(F.sequence(F.lit(least), most if isinstance(most, Column) else F.lit(most)), lambda n: i + n - 1 <= F.size(arr))
         return F.transform(lengths, lambda n: F.array_join(F.slice(arr, i, n), glue))
 
     return F.when(F.size(arr) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(arr)), at))).otherwise(F.expr("cast(array() as array<string>)"))
@@ -123,11 +122,16 @@ def good_gram(gram: Column, stop: list[str] = STOPWORDS) -> Column:
     return fine & (F.floor(total / F.size(parts)) >= 4)
 
 
+def labelled_english(lang: Column) -> Column:
+    """Whether a label names English in any spelling: letter case, a region added, the three-letter code. Null for no label."""
+    return F.split(F.lower(F.trim(lang)), "[-_]").getItem(0).isin("en", "eng")
+
+
 def english(text: Column, lang: Column, vocabulary: list[str], share: float = 0.8) -> Column:
-    """Labelled en, or that share of its words is in the vocabulary."""
-    w = words(text)
+    """Labelled English, or that share of its words is in the vocabulary."""
     listed = F.array(*map(F.lit, vocabulary))
-    return F.coalesce(lang == "en", F.lit(False)) | F.coalesce(F.size(F.filter(w, lambda x: F.array_contains(listed, x))) >= share * F.size(w), F.lit(False))
+    enough = once(words(text), lambda w: F.size(F.filter(w, lambda x: F.array_contains(listed, x))) >= share * F.size(w))
+    return F.coalesce(labelled_english(lang), F.lit(False)) | F.coalesce(enough, F.lit(False))
 
 
 def normalise(arr: Column, table: dict[str, str]) -> Column:
@@ -163,6 +167,11 @@ def sub_window(ts: Column, hours: int = 2) -> Column:
     return (F.floor(F.hour(ts) / hours) + 1).cast("int")
 
 
+def stem(w: Column) -> Column:
+    """A word without the ending of an inflected form (ing, ed, s)."""
+    return F.regexp_replace(w, "(ing|ed|s)$", "")
+
+
 def lexical_class(tag: Column) -> Column:
     """The lexical class of a part-of-speech tag: n v a adv c num prep intj, else null."""
     out = F.lit(None).cast("string")

@@ -65,7 +65,68 @@ def pairwise_agreement(labels: DataFrame, event: str, annotator: str) -> DataFra
     return cells.withColumn("agreement", F.round(po, 6)).withColumn("kappa", F.round(F.try_divide(po - pe, 1 - pe), 6))
 
 
-def interleave(a: DataFrame, b: DataFrame, rank: str, value: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """(place, system, rank, value): two ranked lists by turns, the tail of the longer at the end."""
-    both = a.select(F.lit(names[0]).alias("system"), F.col(rank).alias("rank"), F.col(value).alias("value")).unionByName(b.select(F.lit(names[1]).alias("system"), F.col(rank).alias("rank"), F.col(value).alias("value")))
-    return both.withColumn("place", F.row_number().over(Window.orderBy("rank", "system")))
+def _up_to(ratio: Column, most: int) -> Column:
+    """The whole ratios from a ratio, rounded up, to `most`: an event counts at each of them."""
+    least = F.ceil(F.round(ratio, 9)).cast("int")
+    return F.explode(F.when(least <= most, F.sequence(least, F.lit(most))))
+
+
+def precision_by_ratio(events: DataFrame, window: str, most: int = 10) -> DataFrame:
+    """(up_to, n, n_true, n_false, n_doubt, precision, mean_precision): labelled events of a ratio, rounded up, of up_to or
+    less. precision is pooled, mean_precision the mean of the windows that have any. events has (window, ratio, tag)."""
+    v = verdict(F.col("tag"))
+    each = events.select(window, v.alias("v"), _up_to(F.col("ratio"), most).alias("up_to")).groupBy("up_to", window)
+    days = each.agg(F.count("*").alias("n"), F.count_if("v").alias("t"), F.count_if(~F.col("v")).alias("f"))
+    return days.groupBy("up_to").agg(
+        F.sum("n").alias("n"), F.sum("t").alias("n_true"), F.sum("f").alias("n_false"), (F.sum("n") - F.sum("t") - F.sum("f")).alias("n_doubt"),
+        F.round(F.sum("t") / F.sum("n"), 6).alias("precision"), F.round(F.avg(F.col("t") / F.col("n")), 6).alias("mean_precision"),
+    )
+
+
+def repeats_by_ratio(true_events: DataFrame, most: int = 10) -> DataFrame:
+    """(up_to, n_true, distinct, repeated, share): of the true events (id, ratio) up to each ratio how many there are, how
+    many different ones, how many of these come more than once, and these over all true ones."""
+    each = true_events.select("id", _up_to(F.col("ratio"), most).alias("up_to")).groupBy("up_to", "id").agg(F.count("*").alias("n"))
+    sums = each.groupBy("up_to").agg(F.sum("n").alias("n_true"), F.count("*").alias("distinct"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return sums.withColumn("share", F.round(F.col("repeated") / F.col("n_true"), 6))
+
+
+def precision_from_news(events: DataFrame, news: DataFrame, least: int = 2) -> DataFrame:
+    """One row: events, those that share `least` words or more with a headline of their day, headlines of these days; precision
+    and recall (matched events over headlines, as the measure is defined), pooled and as means of days.
+
+    events is (event, tw, ws), news (news_id, tw, ws). A day without headlines has no recall.
+    """
+    matched = overlap_join(events, "event", "ws", news, "news_id", "ws", least, ["tw"]).select("event").distinct().withColumn("hit", F.lit(1))
+    days = events.select("event", "tw").join(matched, "event", "left").groupBy("tw").agg(F.count("*").alias("e"), F.count("hit").alias("m"))
+    both = days.join(news.groupBy("tw").agg(F.count("*").alias("h")), "tw", "left")
+    share = lambda x, y: F.round(F.try_divide(x, y), 6)
+    return both.agg(
+        F.sum("e").alias("events"), F.sum("m").alias("matched"), F.sum("h").alias("headlines"), share(F.sum("m"), F.sum("e")).alias("precision"), share(F.sum("m"), F.sum("h")).alias("recall"),
+        F.round(F.avg(F.col("m") / F.col("e")), 6).alias("mean_precision"), F.round(F.avg(F.col("m") / F.col("h")), 6).alias("mean_recall"),
+    )
+
+
+def precision_by_system(labels: DataFrame, systems: DataFrame, event: str) -> DataFrame:
+    """(system, n_true, n_false, n_doubt, precision) of labels whose events systems (event, system) tell; others take no part."""
+    v = verdict(F.col("tag"))
+    sums = labels.join(systems.select(event, "system").distinct(), event).groupBy("system").agg(F.count_if(v).alias("n_true"), F.count_if(~v).alias("n_false"), F.count_if(v.isNull()).alias("n_doubt"))
+    return sums.withColumn("precision", F.round(F.try_divide(F.col("n_true"), F.col("n_true") + F.col("n_false")), 6))
+
+
+def interleave(a: DataFrame, b: DataFrame, rank: str, value: str, names: tuple[str, str] = ("a", "b"), by: str | None = None) -> DataFrame:
+    """(by, system, rank, value, place): two lists with ranks from 1 without gaps by turns, the tail of the longer at the end;
+    of equal ranks the system that sorts first comes first. Within each value of `by`, if given.
+
+    The place follows from the rank and the length of the other list, so nothing is sorted: place = rank + the number of
+    the other list's rows before it.
+    """
+    first, second = (a, b) if names[0] <= names[1] else (b, a)
+    keys = [by] if by else []
+    out = []
+    for mine, other, name, lead in ((first, second, min(names), 1), (second, first, max(names), 0)):
+        sizes = other.groupBy(*keys).agg(F.count("*").alias("_n")) if by else other.agg(F.count("*").alias("_n"))
+        with_size = mine.join(sizes, by, "left") if by else mine.withColumn("_n", sizes.scalar())
+        place = F.col(rank) + F.least(F.col(rank) - lead, F.coalesce("_n", F.lit(0)))
+        out.append(with_size.select(*keys, F.lit(name).alias("system"), F.col(rank).alias("rank"), F.col(value).alias("value"), place.alias("place")))
+    return out[0].unionByName(out[1])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from burstline.functions import text as T
 from burstline.operators import evaluate as E
 from burstline.operators.graph import connected_components
+from burstline.operators.similarity import slot_unit
+from burstline.session import stored
 from burstline.sources.tables import table
 
 from . import detect as D
@@ -63,42 +65,30 @@ def gold_coverage(spark, d):
     return a.join(g, "id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-def _two_lists(spark, d, budget=10):
+def _two_lists(spark, d):
     rows = D.word_rows(spark, d)
     both = D._with_users(rows, D.U.window_sizes(D.tweets(spark, d))).withColumn("weight", F.col("pb") * F.log10("users"))
-    cfg = D.Config(budget=budget)
+    cfg = D.Config(budget=220)
     return D.U.top_units(both, "z", cfg), D.U.top_units(both, "weight", cfg)
 
 
-def compare_lists(spark, d, budget=10):
-    """Units that two rankings of a window share, or that one of them alone has."""
-    z, w = _two_lists(spark, d, budget)
+def compare_lists(spark, d):
+    """Units that two rankings of a window share, or that one of them alone has; 220 a list."""
+    z, w = _two_lists(spark, d)
     a, b = z.select("tw", "unit", F.lit(True).alias("a")), w.select("tw", "unit", F.lit(True).alias("b"))
     side = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "z only").otherwise("weight only")
     return a.join(b, ["tw", "unit"], "full").select("tw", "unit", side.alias("side"))
 
 
 def interleaved_lists(spark, d):
-    """The lists of the first day by turns."""
+    """The two lists of each day by turns."""
     z, w = _two_lists(spark, d)
-    day = D.tweets(spark, d).agg(F.min("tw").alias("m")).scalar()
-    return E.interleave(z.where(F.col("tw") == day), w.where(F.col("tw") == day), "rk", "unit", ("z", "weight"))
-
-
-def compare_lists_full(spark, d):
-    """The same with 220 units a list."""
-    return compare_lists(spark, d, 220)
-
-
-def interleaved_lists_full(spark, d):
-    """The lists of each day by turns, 220 units a list."""
-    z, w = _two_lists(spark, d, 220)
-    each = [x.select("tw", F.lit(name).alias("system"), F.col("rk").alias("rank"), F.col("unit").alias("value")) for name, x in (("z", z), ("weight", w))]
-    return each[0].unionByName(each[1]).withColumn("place", F.row_number().over(Window.partitionBy("tw").orderBy("rank", "system")))
+    return E.interleave(z, w, "rk", "unit", ("z", "weight"), "tw")
 
 
 def frames_of_element(spark, d):
-    """The ten most frequent frames of each element, and which of them is the most frequent."""
+    """The ten most frequent frames of each element, and which of them is the most frequent. The rank is bounded in the
+    plan, so each task hands on ten rows of an element at most, however many frames it has."""
     f = table(spark, d, "frames").where("frames is not null").select(F.explode("frames").alias("f"))
     frame = F.concat_ws("|", F.coalesce("f.arg1", F.lit("")), F.coalesce("f.verb", F.lit("")), F.coalesce("f.arg2", F.lit("")))
     each = f.select(frame.alias("frame"), F.explode(F.array_distinct(F.array("f.arg1", "f.verb", "f.arg2"))).alias("element")).where("element <> ''")
@@ -150,6 +140,70 @@ def skeleton_frequency(spark, d):
     return D.U.skeleton_frequency(relation_pairs(spark, d))
 
 
+def skeleton_burst(spark, d):
+    """Tweets whose skeleton is bursty: over frames' verbs as relations, two of them or more."""
+    pairs = stored(relation_pairs(spark, d))
+    sizes = pairs.groupBy("tw").agg(F.count_distinct("tid").alias("n_t"))
+    users = D.tweets(spark, d).select(F.col("id_str").alias("tid"), F.col("user_id_str").alias("usr"))
+    out = D.U.skeleton_burst(pairs, users, sizes)
+    return D._rounded(out.select("tw", "tid", "df", "n_t", "ps", "users", "weight"), "ps", "weight")
+
+
+def burst_tagged_elements(spark, d):
+    """Bursts of frames' slots with verbs told apart from arguments by a mark."""
+    f = D._frames(spark, d).where("arg1 <> '' or arg2 <> ''")
+    slots = F.array("arg1", F.when(F.col("verb") != "", slot_unit(F.col("verb"), 1)), "arg2")
+    each = f.select("tid", F.explode(F.filter(slots, lambda x: x.isNotNull() & (x != ""))).alias("unit")).distinct()
+    t = D.tweets(spark, d).where("tw is not null").select("tw", "subtw", F.col("id_str").alias("tid"), F.col("user_id_str").alias("usr"))
+    scored = D._burst(t.join(each, "tid"), D.U.window_sizes(D.tweets(spark, d)))
+    return D._rounded(D.U.top_units(scored, "z", D.CFG), "e", "z").select("tw", "unit", "df", "e", "z", "rk")
+
+
+def gap_elements(spark, d):
+    """Elements of frames up to the first empty slot, with the tweets that have each on each day."""
+    f = D._frames(spark, d)
+    slots = F.when(F.col("arg1") == "", F.array()).when(F.col("verb") == "", F.array("arg1")).when(F.col("arg2") == "", F.array("arg1", "verb")).otherwise(F.array("arg1", "verb", "arg2"))
+    return f.select("tw", "tid", F.explode(slots).alias("unit")).distinct().groupBy("unit", "tw").agg(F.count("*").alias("df"))
+
+
+def frequent_frames(spark, d):
+    """Complete frames that five tweets or more of all days have."""
+    f = D._frames(spark, d).where("arg1 <> '' and verb <> '' and arg2 <> ''").select("tw", "tid", F.concat_ws("|", "arg1", "verb", "arg2").alias("unit")).distinct()
+    return D.U.frequent_units(f.groupBy("unit", "tw").agg(F.count("*").alias("df")), 5)
+
+
+def fuzzy_frequency(spark, d):
+    """Tweets of each frame with those of the frames that agree with it in two slots."""
+    return D.U.fuzzy_frequency(D._frames(spark, d))
+
+
+def all_users(spark, d):
+    """Distinct users of each day and of all days (null)."""
+    each = D.tweets(spark, d).where("tw is not null and user_id_str is not null").select("tw", "user_id_str").distinct()
+    return each.groupBy("tw").agg(F.count("*").alias("users")).unionByName(each.agg(F.count_distinct("user_id_str").alias("users")).select(F.lit(None).cast("date").alias("tw"), "users"))
+
+
+def words_per_unit(spark, d):
+    """Frames and words by the number of words that they are made of."""
+    units = D._frames(spark, d).select(F.concat_ws("|", "arg1", "verb", "arg2").alias("unit")).where("unit <> '||'").unionByName(D.word_rows(spark, d).select("unit")).distinct()
+    n = F.size(F.filter(F.split("unit", "[|_ ]"), lambda w: w != ""))
+    return units.groupBy(n.alias("n_words")).agg(F.count("*").alias("units"))
+
+
+def expected_on_last_day(spark, d):
+    """Units of the last day with their tweets on each day before, what these lead one to expect of it, and its z."""
+    sizes = D.U.window_sizes(D.tweets(spark, d))
+    last = sizes.agg(F.max("tw").alias("m")).scalar()
+    known = D.U.document_frequency(D.word_rows(spark, d)).join(F.broadcast(sizes), "tw")
+    own = F.col("tw") == last
+    units = known.groupBy("unit").agg(
+        F.max(F.when(own, F.col("df"))).alias("df"), F.max(F.when(own, F.col("n_t"))).alias("n_t"), F.avg(F.when(~own, F.col("df") / F.col("n_t"))).alias("p"), F.count_if(~own).alias("days")
+    )
+    e = F.col("n_t") * F.col("p")
+    z = F.try_divide(F.col("df") - e, F.sqrt(e * (1 - F.col("p"))))
+    return D._rounded(units.where("df is not null and days > 0").select("unit", "df", "days", e.alias("e"), z.alias("z")), "e", "z")
+
+
 def frame_components(spark, d):
     """Elements that frames tie together: connected components over the pairs of arguments."""
     f = table(spark, d, "frames").where("frames is not null").select(F.explode("frames").alias("f")).where("f.arg1 <> '' and f.arg2 <> ''")
@@ -199,15 +253,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         units_of_last_day, frequency_series, predefined_probability, merged_units, sub_window_counts,
-        gold_tweets, gold_headlines, headline_recall, label_precision, duplicate_rate, annotator_agreement, label_disagreements, gold_coverage, compare_lists, interleaved_lists,
-        compare_lists_full, interleaved_lists_full,
+        gold_tweets, gold_headlines, headline_recall, label_precision, duplicate_rate, annotator_agreement, label_disagreements, gold_coverage, compare_lists, interleaved_lists, burst_tagged_elements, gap_elements, frequent_frames, fuzzy_frequency, skeleton_burst, all_users, words_per_unit, expected_on_last_day,
         frames_of_element, element_back_mapping, frequent_verbs, frame_arity, bursty_frames, relation_pairs, skeleton_frequency, frame_components,
     )
 }
 
 V = "v AS (SELECT *, CASE WHEN upper(tag) IN ('T', 'M') THEN true WHEN upper(tag) = 'F' THEN false END AS v FROM event_labels)"
 FR = "fr AS (SELECT tw, id_str, unnest(frames) AS f FROM frames WHERE frames IS NOT NULL)"
-TWO = f"WITH {BASE}, {WORDS}, {BURST}, {USERS}, wu AS (SELECT burst.*, users, pb * log10(users) AS weight FROM burst JOIN us USING (unit, tw)), {_ranked('wu', 'z', '10').replace('ranked AS', 'za AS')}, {_ranked('wu', 'weight', '10').replace('ranked AS', 'wb AS')}"
+TWO = f"WITH {BASE}, {WORDS}, {BURST}, {USERS}, wu AS (SELECT burst.*, users, pb * log10(users) AS weight FROM burst JOIN us USING (unit, tw)), {_ranked('wu', 'z', '220').replace('ranked AS', 'za AS')}, {_ranked('wu', 'weight', '220').replace('ranked AS', 'wb AS')}"
 FOE = f"{FR}, e AS (SELECT coalesce(f.arg1, '') || '|' || coalesce(f.verb, '') || '|' || coalesce(f.arg2, '') AS frame, unnest(list_distinct([f.arg1, f.verb, f.arg2])) AS element FROM fr), c AS (SELECT element, frame, count(*) AS n FROM e WHERE element <> '' GROUP BY ALL), foe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY element ORDER BY n DESC, frame) AS rk FROM c) WHERE rk <= 10)"
 HW = f"{PIECES.replace('text', 'headline')}"
 PAIRS = f"{FR}, rel AS (SELECT DISTINCT tw, id_str AS tid, f.verb AS u FROM fr WHERE f.verb <> ''), pairs AS (SELECT a.tw, a.tid, a.u AS a, b.u AS b FROM rel a JOIN rel b ON a.tw = b.tw AND a.tid = b.tid AND a.u < b.u)"
@@ -227,10 +280,22 @@ SQL = {
     "label_disagreements": f"WITH {V} SELECT event_id, count(DISTINCT v) AS kinds, count_if(v) AS yes, count_if(NOT v) AS no FROM v WHERE v IS NOT NULL GROUP BY event_id HAVING count(DISTINCT v) > 1",
     "gold_coverage": "WITH a AS (SELECT DISTINCT event_id AS id FROM event_labels), g AS (SELECT DISTINCT gold_id AS id FROM gold_events) SELECT CASE WHEN a.id IS NOT NULL AND g.id IS NOT NULL THEN 'both' WHEN a.id IS NOT NULL THEN 'label only' ELSE 'gold only' END AS side, count(*) AS n FROM a FULL JOIN g ON a.id = g.id GROUP BY 1",
     "compare_lists": f"{TWO} SELECT coalesce(za.tw, wb.tw) AS tw, coalesce(za.unit, wb.unit) AS unit, CASE WHEN za.unit IS NOT NULL AND wb.unit IS NOT NULL THEN 'both' WHEN za.unit IS NOT NULL THEN 'z only' ELSE 'weight only' END AS side FROM za FULL JOIN wb ON za.tw = wb.tw AND za.unit = wb.unit",
-    "interleaved_lists": f"{TWO}, f AS (SELECT min(tw) AS m FROM t), u AS (SELECT 'z' AS system, rk AS rank, unit AS value FROM za, f WHERE tw = m UNION ALL SELECT 'weight', rk, unit FROM wb, f WHERE tw = m) SELECT system, rank, value, row_number() OVER (ORDER BY rank, system) AS place FROM u",
+    "interleaved_lists": f"{TWO}, u AS (SELECT tw, 'z' AS system, rk AS rank, unit AS value FROM za UNION ALL SELECT tw, 'weight', rk, unit FROM wb) SELECT tw, system, rank, value, row_number() OVER (PARTITION BY tw ORDER BY rank, system) AS place FROM u",
+    "burst_tagged_elements": f"WITH {BASE}, {D.FRAMES}, el AS (SELECT DISTINCT tid, unnest([arg1, CASE WHEN verb <> '' THEN verb || '_1' ELSE '' END, arg2]) AS unit FROM fm WHERE arg1 <> '' OR arg2 <> ''), rows_ AS (SELECT tw, subtw, tid, usr, unit FROM kept JOIN el ON tid = id_str WHERE unit <> ''), {BURST}, {_ranked('burst', 'z', D.G4)} SELECT tw, unit, df, round(e, 6) AS e, round(z, 6) AS z, rk FROM ranked",
+    "gap_elements": f"WITH {D.FRAMES}, el AS (SELECT DISTINCT tw, tid, unnest(CASE WHEN arg1 = '' THEN [] WHEN verb = '' THEN [arg1] WHEN arg2 = '' THEN [arg1, verb] ELSE [arg1, verb, arg2] END) AS unit FROM fm) SELECT unit, tw, count(*) AS df FROM el GROUP BY unit, tw",
+    "frequent_frames": f"WITH {D.FRAMES}, c AS (SELECT DISTINCT tw, tid, arg1 || '|' || verb || '|' || arg2 AS unit FROM fm WHERE arg1 <> '' AND verb <> '' AND arg2 <> ''), e AS (SELECT unit, tw, count(*) AS df FROM c GROUP BY ALL) SELECT unit, tw, df FROM e WHERE unit IN (SELECT unit FROM e GROUP BY unit HAVING sum(df) >= 5)",
+    "fuzzy_frequency": f"WITH {D.FRAMES}, own AS (SELECT tw, arg1, verb, arg2, count(DISTINCT tid) AS df FROM fm GROUP BY ALL), kinds AS (SELECT DISTINCT arg1, verb, arg2 FROM fm), met AS (SELECT k.arg1, k.verb, k.arg2, o.tw, o.df FROM kinds k JOIN own o ON (k.arg1 = o.arg1 AND k.verb = o.verb AND k.arg1 <> '' AND k.verb <> '') OR (k.arg1 = o.arg1 AND k.arg2 = o.arg2 AND k.arg1 <> '' AND k.arg2 <> '') OR (k.verb = o.verb AND k.arg2 = o.arg2 AND k.verb <> '' AND k.arg2 <> '') OR (k.arg1 = o.arg1 AND k.verb = o.verb AND k.arg2 = o.arg2)) SELECT arg1, verb, arg2, tw, sum(df)::BIGINT AS df FROM met GROUP BY ALL",
+    "all_users": f"WITH {BASE} SELECT tw, count(DISTINCT usr) AS users FROM kept WHERE usr IS NOT NULL GROUP BY tw UNION ALL SELECT NULL, count(DISTINCT usr) FROM kept",
+    "words_per_unit": f"WITH {BASE}, {WORDS}, {D.FRAMES}, u AS (SELECT unit FROM rows_ UNION SELECT arg1 || '|' || verb || '|' || arg2 FROM fm WHERE arg1 || verb || arg2 <> '') SELECT len(list_filter(string_split_regex(unit, '[|_ ]'), lambda x: x <> ''))::INT AS n_words, count(*) AS units FROM u GROUP BY 1",
+    "expected_on_last_day": f"{UNITS}, m AS (SELECT max(tw) AS last FROM n), k AS (SELECT df.unit, df.tw = last AS own, df, n_t FROM df JOIN n USING (tw), m), e AS (SELECT unit, max(df) FILTER (own) AS df, max(n_t) FILTER (own) AS n_t, avg(df / n_t) FILTER (NOT own) AS p, count_if(NOT own) AS days FROM k GROUP BY unit) SELECT unit, df, days, round(n_t * p, 6) AS e, round((df - n_t * p) / sqrt(n_t * p * (1 - p)), 6) AS z FROM e WHERE df IS NOT NULL AND days > 0",
+    "element_back_mapping": f"WITH {BASE}, {D.ELEMENTS.replace('fr AS', 'fs AS', 1).replace('FROM fr WHERE', 'FROM fs WHERE')}, {BURST}, {_ranked('burst', 'z', D.G4)}, {FOE} SELECT ranked.tw, ranked.unit, ranked.rk, coalesce(foe.frame, ranked.unit) AS frame FROM ranked LEFT JOIN foe ON foe.element = ranked.unit AND foe.rk = 1",
+    "bursty_frames": f"WITH {BASE}, {D.ELEMENTS}, {BURST}, {_ranked('burst', 'z', D.G4)}, {D.FRAMES} SELECT DISTINCT fm.tw, tid AS id_str, arg1, verb, arg2 FROM fm JOIN ranked a ON a.tw = fm.tw AND a.unit = arg1 JOIN ranked b ON b.tw = fm.tw AND b.unit = verb JOIN ranked c ON c.tw = fm.tw AND c.unit = arg2 WHERE arg1 <> '' AND verb <> '' AND arg2 <> ''",
+    "skeleton_burst": f"WITH {BASE}, {PAIRS}, sz AS (SELECT tw, count(DISTINCT tid) AS n_t FROM pairs GROUP BY tw), reach AS (SELECT DISTINCT x.tw, x.tid, y.tw AS day, y.tid AS other FROM pairs x JOIN pairs y ON x.a = y.a AND x.b = y.b), c AS (SELECT tw, tid, day, count(*) AS df FROM reach GROUP BY ALL), p AS (SELECT c.tw, tid, avg(df / n_t) AS ps, max(CASE WHEN day = c.tw THEN df END) AS df, max(CASE WHEN day = c.tw THEN n_t END) AS n_t FROM c JOIN sz ON sz.tw = day GROUP BY ALL), uu AS (SELECT reach.tw, reach.tid, count(DISTINCT usr) AS users FROM reach JOIN t ON t.id_str = other WHERE day = reach.tw AND usr IS NOT NULL GROUP BY ALL), s AS (SELECT p.*, n_t * ps AS e, sqrt(n_t * ps * (1 - ps)) AS sd FROM p WHERE df > n_t * ps) SELECT s.tw, s.tid, df, n_t, round(ps, 6) AS ps, users, round(CASE WHEN df >= e + 2 * sd THEN 1.0 ELSE 1 / (1 + exp(-10 * (df - e - sd) / sd)) END * log10(users), 6) AS weight FROM s JOIN uu USING (tw, tid)",
+    "frame_components": f"WITH RECURSIVE {D.FRAMES}, e AS (SELECT DISTINCT arg1 AS a, arg2 AS b FROM fm WHERE arg1 <> '' AND arg2 <> '' UNION SELECT DISTINCT arg2, arg1 FROM fm WHERE arg1 <> '' AND arg2 <> ''), lab AS (SELECT a AS node, a AS component, 0 AS turn FROM e UNION SELECT l.node, min(least(l.component, m.component)) AS component, l.turn + 1 FROM lab l JOIN e ON e.a = l.node JOIN lab m ON m.node = e.b WHERE l.turn < 40 GROUP BY l.node, l.turn) SELECT DISTINCT node, component FROM lab WHERE turn = 40",
     "frames_of_element": f"WITH {FOE} SELECT element, frame, n, rk FROM foe",
     "frequent_verbs": f"WITH {FR} SELECT f.verb AS verb, count(*) AS n FROM fr WHERE f.verb <> '' GROUP BY 1 HAVING count(*) > 5",
     "frame_arity": f"WITH {FR} SELECT ((coalesce(f.arg1, '') <> '')::INT + (coalesce(f.verb, '') <> '')::INT + (coalesce(f.arg2, '') <> '')::INT)::INT AS filled, count(*) AS n FROM fr GROUP BY 1",
     "relation_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "skeleton_frequency": f"WITH {PAIRS} SELECT x.tw, x.tid, count(DISTINCT y.tid) AS df FROM pairs x JOIN pairs y ON x.tw = y.tw AND x.a = y.a AND x.b = y.b GROUP BY x.tw, x.tid",
 }
+SQL |= {name: D.rounded_twice(SQL[name]) for name in ("burst_tagged_elements", "expected_on_last_day", "skeleton_burst")}

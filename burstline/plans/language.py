@@ -10,11 +10,17 @@ from burstline.operators import language_model as L
 from burstline.operators.order import merge_spans
 from burstline.sources.tables import table
 
-from .detect import PIECES, TWEETS, gram_table, tweets
+from .detect import GRAMS, PIECES, TWEETS, gram_table, tweets
+
+
+#: A quarter of function words makes a text without an English label pass as English.
+FUNCTION_WORDS = 0.25
 
 
 def _tagged(spark, d):
-    return X.tagged(tweets(spark, d).where("lang = 'en' and text is not null"), "id_str", "text")
+    """Words and tags of the tweets labelled English in any spelling, and of others that read as English."""
+    t = tweets(spark, d).where("text is not null")
+    return X.tagged(t.where(T.english(F.col("text"), F.col("lang"), T.STOPWORDS, FUNCTION_WORDS)), "id_str", "text")
 
 
 def frame_triples(spark, d):
@@ -36,10 +42,10 @@ def verb_pairs(spark, d):
 
 
 def lexical_unit_lookup(spark, d):
-    """Verbs of frames looked up in a lexicon made of the headlines' words and word pairs."""
-    lexicon = (
-        gram_table(spark, d).where(F.size(F.split("gram", " ")) <= 2).select(F.col("gram").alias("lu_name"), F.lit("v").alias("lu_pos"), F.xxhash64("gram").alias("lu_id"), F.concat(F.lit("F"), F.length("gram")).alias("frame_id"))
-    )
+    """Verbs of frames looked up in a lexicon made of the headlines' words and word pairs; the stem of the first word names
+    the frame that a unit evokes."""
+    name = F.col("gram")
+    lexicon = gram_table(spark, d).where(F.size(F.split("gram", " ")) <= 2).select(name.alias("lu_name"), F.lit("v").alias("lu_pos"), F.xxhash64("gram").alias("lu_id"), T.stem(F.split("gram", " ").getItem(0)).alias("frame_id"))
     verbs = table(spark, d, "frames").where("frames is not null").select(F.explode("frames.verb").alias("phrase")).where("phrase <> ''").distinct().withColumn("pos", F.lit("v"))
     return X.lexical_units(verbs, lexicon)
 
@@ -84,6 +90,7 @@ SCORES = f"""w AS (SELECT id_str, {PIECES} AS ws FROM t WHERE text IS NOT NULL),
 e AS (SELECT id_str, n, ws[i] || ' ' || ws[i + 1] AS gram FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM x)),
 sc AS (SELECT id_str, any_value(n) AS n, round(sum(coalesce(logp, -100)), 4) AS score FROM e LEFT JOIN bi USING (gram) GROUP BY id_str)"""
 SQL = {
+    "lexical_unit_lookup": f"WITH {GRAMS}, lex AS (SELECT gram AS lu_name, regexp_replace(string_split(gram, ' ')[1], '(ing|ed|s)$', '') AS frame_id FROM grams WHERE len(string_split(gram, ' ')) <= 2), v AS (SELECT DISTINCT f.verb AS phrase FROM (SELECT unnest(frames) AS f FROM frames WHERE frames IS NOT NULL) WHERE f.verb <> ''), m AS (SELECT phrase, lu_name, frame_id, row_number() OVER (PARTITION BY phrase ORDER BY phrase = lu_name DESC, length(lu_name), lu_name) AS r FROM v JOIN lex ON contains(' ' || lu_name || ' ', ' ' || phrase || ' ')) SELECT phrase, 'v' AS pos, lu_name, frame_id FROM m WHERE r = 1",
     "language_model_scores": f"WITH {TWEETS}, {BIG}, {SCORES} SELECT id_str, n, score FROM sc",
     "likely_texts": f"WITH {TWEETS}, {BIG}, {SCORES} SELECT id_str, n, score FROM sc WHERE n >= 3 AND score > -100.0 * (n + 1) * 0.9 AND score > -100.0 * n",
     "merged_spans": """WITH s AS (SELECT user_id, ts::DATE AS day, hour(ts) * 60 + minute(ts) AS st, hour(ts) * 60 + minute(ts) + floor(value)::BIGINT AS ed FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),

@@ -188,6 +188,9 @@ SELECT id_str, array_to_string(ws, ' ') AS cleaned FROM g WHERE len(list_filter(
     "printable_texts": f"WITH {TWEETS} SELECT id_str, regexp_replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[^\\x20-\\x7E]', '', 'g') AS text FROM t WHERE text IS NOT NULL",
     "stop_and_url_filter": f"{W} SELECT id_str, len(ws)::INT AS n_words, len({KEPT})::INT AS n_kept, array_to_string({KEPT}, ' ') AS kept FROM w",
     "marked_mentions": f"{W} SELECT id_str, array_to_string(list_transform(ws, lambda x: CASE WHEN starts_with(x, '@') AND length(x) > 1 THEN '@usr' ELSE replace(x, '|', '') END), ' ') AS text FROM w",
+    "trimmed_tags": f"""{W}, p AS (SELECT id_str, ws, list_position(list_transform(ws, lambda x: NOT starts_with(x, '#')), true) AS a, list_position(list_transform(list_reverse(ws), lambda x: NOT starts_with(x, '#')), true) AS b FROM w),
+k AS (SELECT id_str, ws[a:len(ws) - b + 1] AS ws FROM p WHERE a > 0)
+SELECT id_str, array_to_string(ws, ' ') AS text FROM k WHERE len(ws) > 1 AND NOT (len(ws) = 2 AND len(list_filter(ws, lambda x: starts_with(x, '@'))) > 0)""",
     "good_grams": f"""WITH h AS (SELECT news_id, {PIECES.replace("text", "headline")} AS ws FROM news WHERE headline IS NOT NULL),
 g AS (SELECT DISTINCT news_id, array_to_string(ws[i:i + k - 1], ' ') AS gram, ws[i:i + k - 1] AS p FROM (SELECT news_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM h), range(2, 6) r(k) WHERE i + k - 1 <= len(ws))
 SELECT gram, count(*) AS n FROM g WHERE len(list_filter(p, lambda x: NOT (length(x) > 2 AND NOT regexp_matches(x, '[^a-z0-9_''-]') AND regexp_matches(x, '^[a-z0-9]') AND NOT list_contains({STOP}, x) AND NOT regexp_matches(x, '^[0-9]+$')))) = 0

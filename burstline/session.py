@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that do not depend on the size of a cluster.
 SETTINGS = {
@@ -36,13 +37,24 @@ def local_session(cpus: str | int = "*", memory: str = "8g", **extra: str) -> Sp
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set a local one only where none is named (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="burstline-checkpoint-"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names. Only a session of this machine alone (tests) may do without: it gets a
+    temporary one. A cluster without a shared folder is an error, since other machines could not read what is cut there."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="burstline-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the shared folder and read from there: cuts the lineage like checkpoint(), but
+    compressed, with its size known to the planner, and with columns and filters pushed into later reads."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

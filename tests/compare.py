@@ -48,7 +48,8 @@ def difference(spark, query, sql: str, folder: str) -> str:
     a, b = canonical(df.columns, rows), canonical(columns, expected)
     if a == b:
         return ""
-    only_a, only_b = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
     return f"rows {len(a)} against {len(b)}; only Spark {only_a}; only SQL {only_b}"
 
 

@@ -83,11 +83,14 @@ def test_budget_and_ties(spark):
     assert units.top_units(s, "z", Config()).count() == 9
 
 
-def test_null_users_and_windows_take_no_part(spark):
+def test_null_users_count_as_tweets_and_not_as_users(spark):
     t = spark.createDataFrame([("1", None, "a", D1, 1), ("2", "u", "a a", None, 1), ("3", "u", "a a b", D1, 1), ("4", "u", None, D1, 1)], "id_str string, user_id_str string, text string, tw date, subtw int")
     rows = units.unit_rows(t, T.words(F.col("text")))
-    assert sorted((r["tid"], r["unit"]) for r in rows.collect()) == [("3", "a"), ("3", "b")]
-    assert units.window_sizes(t).first()["n_t"] == 2
+    assert sorted((r["tid"], r["unit"]) for r in rows.collect()) == [("1", "a"), ("3", "a"), ("3", "b")]
+    assert units.window_sizes(t).first()["n_t"] == 3
+    both = {r["unit"]: (r["df"], r["users"]) for r in units.frequency_and_users(rows.unionByName(rows.where("tid = '1'").withColumn("unit", F.lit("c")))).collect()}
+    assert both == {"a": (2, 1), "b": (1, 1), "c": (1, 0)}
+    assert {r["unit"]: r["users"] for r in units.users_per_unit(rows).collect()} == {"a": 1, "b": 1}
 
 
 def test_skeletons_share_pairs(spark):
@@ -109,7 +112,7 @@ def test_zero_norms_and_nulls(spark):
 
 
 def test_event_scores(spark):
-    clusters = spark.createDataFrame([(D1, 1, 1, 0.0), (D1, 1, 2, 0.8), (D1, 3, 3, 0.0)], "tw date, event_id long, node long, edge_sim double")
+    clusters = spark.createDataFrame([(D1, 1, 1, 0.0, 1), (D1, 1, 2, 0.8, 1), (D1, 3, 3, 0.0, 0)], "tw date, event_id long, node long, edge_sim double, links int")
     bursty = spark.createDataFrame([(D1, k, f"u{k}") for k in (1, 2, 3)], "tw date, seg_id long, unit string")
     row = similarity.event_scores(clusters, bursty, spark.createDataFrame([("u1", 0.5), ("u3", 1.0)], "unit string, news double"), 2, 5).collect()
     assert len(row) == 1 and round(row[0]["score"], 6) == 0.1 and row[0]["ratio"] == 1.0 and row[0]["kept"]
@@ -117,11 +120,66 @@ def test_event_scores(spark):
 
 def test_newsworthiness_of_words_and_phrases(spark):
     u = spark.createDataFrame([("york",), ("new york",), ("unknown",), ("york|new_york",)], "unit string")
-    g = spark.createDataFrame([("york", -1.0), ("new york", 0.5)], "gram string, logp double")
+    g = spark.createDataFrame([("york", -1.0), ("new york", 0.5)], "gram string, p double")
     got = {r["unit"]: round(r["news"], 4) for r in similarity.newsworthiness(u, g, F.split("unit", "\\|")).collect()}
     assert got == {"york": 0.3679, "new york": 0.6487, "unknown": 0.0, "york|new_york": 1.0166}
 
 
+def test_members_by_links_and_by_news(spark):
+    clusters = spark.createDataFrame([(D1, 1, 1, 0.0, 1), (D1, 1, 2, 0.8, 2), (D1, 1, 3, 0.5, 1)], "tw date, event_id long, node long, edge_sim double, links int")
+    bursty = spark.createDataFrame([(D1, 1, "b"), (D1, 2, "c"), (D1, 3, "a")], "tw date, seg_id long, unit string")
+    news = spark.createDataFrame([("b", 2.0)], "unit string, news double")
+    events = similarity.event_scores(clusters, bursty, news, 2, 5)
+    assert events.first()["n_edges"] == 2
+    row = similarity.event_members(events, clusters, bursty, news).first()
+    assert row["by_links"] == ["c", "a", "b"] and row["by_news"] == ["b", "a", "c"]
+
+
+def test_windows_that_the_data_set(spark):
+    times = spark.createDataFrame([(D1, h) for h in (1, 3, 4, 9, 10, 12, 23, 3)] + [(D2, None), (None, 4)], "tw date, hour int")
+    assert {r["tw"]: r["starts"] for r in units.data_windows(times).collect()} == {D1: [0, 3, 9, 12, 23]}
+
+
+def test_fuzzy_frequency_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(D1 if rng.random() < 0.5 else D2, f"t{k}", *(rng.choice(["", "a", "b", "c"]) for _ in range(3))) for k in range(120)]
+    got = {tuple(r) for r in units.fuzzy_frequency(spark.createDataFrame(rows, "tw date, tid string, arg1 string, verb string, arg2 string")).select("arg1", "verb", "arg2", "tw", "df").collect()}
+    want = set()
+    for f in {r[2:] for r in rows}:
+        for day in (D1, D2):
+            n = sum(len({t for d, t, *g in rows if d == day and tuple(g) == h}) for h in {r[2:] for r in rows} if h == f or sum(x == y != "" for x, y in zip(f, h)) >= 2)
+            want |= {(*f, day, n)} if n else set()
+    assert got == want
+
+
+def test_skeleton_burst(spark):
+    verbs = [(D1, f"{k}", u) for k in range(6) for u in "ab"] + [(D1, "9", u) for u in "cd"] + [(D2, "10", u) for u in "ab"] + [(D2, f"1{k}", u) for k in range(1, 9) for u in "cd"]
+    pairs = units.relation_pairs(spark.createDataFrame(verbs, "tw date, tid string, unit string"))
+    users = spark.createDataFrame([(str(k), f"u{k % 3}") for k in range(20)], "tid string, usr string")
+    got = {(r["tw"], r["tid"]): (r["df"], r["users"]) for r in units.skeleton_burst(pairs, users, pairs.groupBy("tw").agg(F.count_distinct("tid").alias("n_t"))).collect()}
+    assert got == {(D1, str(k)): (6, 3) for k in range(6)} | {(D2, f"1{k}"): (8, 3) for k in range(1, 9)}
+
+
+def test_precision_and_repeats_by_ratio(spark):
+    events = spark.createDataFrame([(D1, 1.0, "T"), (D1, 1.5, "F"), (D2, 2.0, "m"), (D2, 11.0, "T"), (D2, 2.2, "?")], "tw date, ratio double, tag string")
+    got = {r["up_to"]: (r["n"], r["n_true"], r["n_false"], r["n_doubt"], r["precision"], r["mean_precision"]) for r in evaluate.precision_by_ratio(events, "tw").collect()}
+    assert got[1] == (1, 1, 0, 0, 1.0, 1.0) and got[2] == (3, 2, 1, 0, 0.666667, 0.75) and got[10] == (4, 2, 1, 1, 0.5, 0.5) and 11 not in got
+    twice = evaluate.repeats_by_ratio(spark.createDataFrame([("x", 1.0), ("x", 1.2), ("y", 2.0)], "id string, ratio double"))
+    assert {r["up_to"]: tuple(r)[1:4] for r in twice.where("up_to <= 2").collect()} == {1: (1, 1, 0), 2: (3, 2, 1)}
+
+
+def test_interleaved_lists_of_different_length(spark):
+    a = spark.createDataFrame([(D1, k, f"a{k}") for k in range(1, 5)] + [(D2, 1, "a")], "tw date, rk int, unit string")
+    b = spark.createDataFrame([(D1, k, f"b{k}") for k in range(1, 3)], "tw date, rk int, unit string")
+    got = sorted((r["tw"], r["place"], r["value"]) for r in evaluate.interleave(a, b, "rk", "unit", ("x", "y"), "tw").collect())
+    assert [v for d, _, v in got if d == D1] == ["a1", "b1", "a2", "b2", "a3", "a4"] and [p for d, p, _ in got if d == D1] == [1, 2, 3, 4, 5, 6] and got[-1] == (D2, 1, "a")
+    one = sorted((r["place"], r["value"]) for r in evaluate.interleave(a.where(F.col("tw") == D1), b, "rk", "unit", ("y", "x")).collect())
+    assert one == [(1, "b1"), (2, "a1"), (3, "b2"), (4, "a2"), (5, "a3"), (6, "a4")]
+    tags = spark.createDataFrame([(1, "T"), (1, "F"), (2, "?"), (3, "T")], "event_id long, tag string")
+    systems = spark.createDataFrame([(1, "x"), (2, "x")], "event_id long, system string")
+    assert tuple(evaluate.precision_by_system(tags, systems, "event_id").first()) == ("x", 1, 1, 1, 0.5)
+
+
 def test_kappa(spark):
     cells = [("T", "T")] * 20 + [("T", "F")] * 5 + [("F", "T")] * 10 + [("F", "F")] * 15
     rows = [(k, who, tag) for k, pair in enumerate(cells) for who, tag in zip("ab", pair)]

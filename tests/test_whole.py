@@ -5,9 +5,12 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from burstline.plans import catalog, detect
+from burstline.config import Config
+from burstline.operators import lsh
+from burstline.plans import catalog
 
 D1, D2 = dt.date(2012, 10, 9), dt.date(2012, 10, 10)
 UNITS = 40
@@ -32,33 +35,49 @@ def test_pairs_of_all_units_of_the_budget(spark, ring):
     norm = {u: math.sqrt(sum(x * x for x in v.values())) for u, v in vec.items()}
     at = {u: k for k, u in enumerate(sorted(df))}
     want = {(at[a], at[b]): sum(vec[a][w] * vec[b][w] for w in vec[a].keys() & vec[b].keys()) / norm[a] / norm[b] for a, b in combinations(sorted(df), 2) if vec[a].keys() & vec[b].keys()}
-    got = {(r["src"], r["dst"]): r["sim"] for r in catalog.QUERIES["pair_similarity_text_full"](spark, folder).collect()}
+    got = {(r["src"], r["dst"]): r["sim"] for r in catalog.QUERIES["pair_similarity_text"](spark, folder).collect()}
     assert got.keys() == want.keys() and max(b for _, b in got) == UNITS - 1
     assert all(got[p] == pytest.approx(want[p], abs=1e-6) for p in want)
 
 
 @pytest.mark.parametrize("name,column", [("tfidf_vectors", "seg_id"), ("pair_similarity_g4", "src"), ("pair_similarity_g2", "src"), ("nearest_neighbours", "node"), ("mutual_neighbours", "node")])
 def test_units_beyond_the_small_budget(spark, ring, name, column):
-    assert max(r[column] for r in catalog.QUERIES[f"{name}_full"](spark, ring[0]).collect()) >= detect.FEW.budget
+    assert max(r[column] for r in catalog.QUERIES[f"{name}"](spark, ring[0]).collect()) >= 25
 
 
 def test_vectors_of_different_labels_meet(spark, tmp_path):
-    rows = [(k, [float(k % 3 == j) + 0.1 * (j == 3) for j in range(64)], f"l{k % 2}") for k in range(12)]
+    """Queries are the ids divisible by 50; every other vector is compared with them."""
+    rows = [(10 * k, [float(k % 3 == j) + 0.1 * (j == 3) for j in range(64)], f"l{k % 2}") for k in range(12)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
     query = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    every = set(combinations(range(12), 2))
-    near = {(a, b) for a, b in every if a % 3 == b % 3}
+    every = {(a, b) for a in (0, 50, 100) for b in range(0, 120, 10) if a != b}
+    near = {(a, b) for a, b in every if a // 10 % 3 == b // 10 % 3}
     assert {(r["a"], r["b"]) for r in query("hamming_pairs")} == every
-    got = query("cosine_pairs_full")
+    got = query("cosine_pairs")
     assert len(got) == len(near) and {(r["a"], r["b"]) for r in got} == near
-    assert {r["cos"]: r["n"] for r in query("similarity_histogram_full")} == {"1.0": len(near)}
-    assert {r["node"]: r["component"] for r in query("vector_clusters")} == {k: k % 3 for k in range(12)}
+    assert {r["cos"]: r["n"] for r in query("similarity_histogram")} == {"1.0": len(near)}
+    assert {r["node"]: r["component"] for r in query("vector_clusters")} == {10 * k: 10 * (k % 3) for k in range(12)}
+    assert {r["node"]: r["component"] for r in query("lsh_clusters")} == {str(10 * k): min(str(10 * j) for j in range(k % 3, 12, 3)) for k in range(12)}
+
+
+def test_recall_of_the_candidates(spark):
+    """Near copies among five thousand vectors: at least 0.9 of the pairs with a cosine of 0.9 or more are found."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((4000, 64))
+    copies = base[:1000] + 0.28 * rng.standard_normal((1000, 64))
+    v = np.vstack([base, copies])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {tuple(sorted((str(i), str(j)))) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)))}
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "id long, v array<double>")
+    c = Config()
+    got = {(r["id_a"], r["id_b"]) for r in lsh.links(df, "id", "v", 64, c.lsh_similarity, c.lsh_bits, c.lsh_rounds, c.lsh_window).collect()}
+    assert got <= want and len(want) > 900 and len(got) / len(want) >= 0.9
 
 
 def test_lists_of_all_units_and_days(spark, ring, folder):
-    assert len({r["unit"] for r in catalog.QUERIES["burst_two_list_full"](spark, ring[0]).collect()}) == UNITS
-    assert [r["side"] for r in catalog.QUERIES["compare_lists_full"](spark, ring[0]).collect()] == ["both"] * UNITS
-    turns = sorted((r["tw"], r["place"], r["system"]) for r in catalog.QUERIES["interleaved_lists_full"](spark, folder).collect())
+    assert len({r["unit"] for r in catalog.QUERIES["burst_two_list"](spark, ring[0]).collect()}) == UNITS
+    assert [r["side"] for r in catalog.QUERIES["compare_lists"](spark, ring[0]).collect()] == ["both"] * UNITS
+    turns = sorted((r["tw"], r["place"], r["system"]) for r in catalog.QUERIES["interleaved_lists"](spark, folder).collect())
     days = {tw for tw, _, _ in turns}
     assert len(days) > 1
     for day in days:
