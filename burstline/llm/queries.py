@@ -155,7 +155,7 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str, together: bool) -> DataFrame:
     docs = table(spark, d, "documents")
-    bins = [tuple(r) for r in table(spark, d, "token_bins").groupBy("tokenizer", "capacity").agg(F.min("bin_id")).orderBy("capacity").limit(1000).collect()]
+    bins = [tuple(r) for r in table(spark, d, "token_bins").groupBy("tokenizer", "capacity").agg(F.min("bin_id")).orderBy("capacity").collect()]
     name = bins[0][0]
     if any(t != name for t, _, _ in bins):
         raise ValueError("containers of one call share a tokenizer")
@@ -188,7 +188,8 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
-    names = [r["subject"] for r in table(spark, d, "subjects").select("subject").where("subject is not null").distinct().limit(1000).collect()]
+    """subjects is a fixed closed list, so its names are read to the driver whole."""
+    names = [r["subject"] for r in table(spark, d, "subjects").select("subject").where("subject is not null").distinct().collect()]
     return subjects.subjects_of(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), names)
 
 

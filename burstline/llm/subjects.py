@@ -1,16 +1,22 @@
 """Subject areas of documents.
 
-Method: label propagation over a similarity graph of the documents, with clamped seeds and several subjects a document.
-Two documents are similar by the verified terms that their sentences share; the graph is kept factored as documents,
-sentences and terms, so that its links are never written out pair by pair. A term is verified if, among the seeds, its
-sentences lean clearly to one subject. Each round hands the subjects of sentences over the shared terms to the other
-sentences: documents that annotators labelled keep their labels (clamped); any other document takes a subject only where
-several of its sentences agree on it. In the end a document has each subject to which several of its sentences are given.
-
-Bounded parts: seeds are a sample of at most Params.seeds labelled documents and the terms are looked for in a sample of
-about Params.sample documents, both chosen by the hash of their id; at most Params.terms terms stand in the table that the
-rounds broadcast. Everything else is over all documents: each is read once, reduced to these terms, and the rounds run
-over that; a term that no seed holds gets its subject from the sentences of other documents.
+Method: label propagation over a similarity graph of the documents by iterative DataFrame joins, with clamped seeds and
+several subjects a document. Two documents are similar by the verified terms that their sentences share. The graph is kept
+factored, as sentences and terms: a link between two documents is a term that stands in a sentence of both, so links are
+never written out pair by pair, and one term or subject that a third of all documents share is one row, not their square.
+A term is verified, and its links count, if the sentences that hold it lean clearly to one subject.
+
+A round is two joins. Sentences join the terms' subjects and take the subject of the greatest sum; terms join the
+sentences' subjects and take the shares of these. A document hands on a subject only where several of its sentences agree;
+one that annotators labelled is clamped: it hands on the subjects they see in it and no others. Rounds end when the terms'
+subjects stand still. In the end a document has each subject to which several of its sentences are given, and keeps a
+clamped one to which at least one is given; a label that no sentence bears out, and a denied subject that several bear
+out, are taken to be slips of an annotator.
+
+Nothing is sampled, capped or collected: seeds are all labelled documents, terms all words that neither too few nor too
+many documents hold. Sentences are partitioned by document once and cut by checkpoint(); later steps shuffle only what
+they hand from sentences to terms, combined first. Whether the terms' subjects are broadcast or shuffled is the planner's
+choice, by the size of the table that was written.
 """
 
 from __future__ import annotations
@@ -19,12 +25,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstline.session import ensure_checkpoint_dir
+from burstline.session import ensure_checkpoint_dir, stored
 
 _SENTENCE = re.compile(r"[.!?…]+|[\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -32,24 +38,26 @@ _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 @dataclass(frozen=True)
 class Params:
-    """seeds, sample, terms: bounds of the labelled documents, of the documents that terms are looked for in, and of the
-    terms. min_documents, max_share: of these documents that hold a term. lean: the share of one subject that verifies a
-    term. several: sentences that make a subject. smooth: sentences by which a term's shares are drawn to the average."""
+    """min_documents, max_share: of the documents that hold a term. lean: the share of one subject that verifies a term;
+    faint: the least share of a further subject that it keeps. several: sentences that make a subject. smooth: sentences of
+    no subject that are added to a term's. trust: the weight of a labelled document's sentence, others having 1. still: the share of terms that may still change when rounds end; rounds: at
+    which they end in any case. turns: over the labelled documents alone, before the rounds."""
 
-    seeds: int = 6000
-    sample: int = 20_000
-    terms: int = 20_000
     min_documents: int = 3
     max_share: float = 0.05
-    lean: float = 0.5
+    lean: float = 0.4
+    faint: float = 0.1
     several: int = 2
-    rounds: int = 4
-    smooth: float = 1.0
+    smooth: float = 0.5
+    trust: float = 5.0
+    still: float = 0.02
+    rounds: int = 12
+    turns: int = 2
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The words (three letters or more, lower case) of each sentence or line that has any."""
-    split = ([w.lower() for w in _WORD.findall(s) if len(w) > 2] for s in _SENTENCE.split(text or ""))
+    split = ([w for w in _WORD.findall(s) if len(w) > 2] for s in _SENTENCE.split((text or "").lower()))
     return [s for s in split if s]
 
 
@@ -60,211 +68,129 @@ def trusted_labels(labels: DataFrame, key: str, subject: str, tag: str) -> DataF
     return votes.agg(F.sum(vote).alias("v")).where("v <> 0").select("doc", "subject", (F.col("v") > 0).alias("holds"))
 
 
-def seed_documents(docs: DataFrame, key: str, text: str, trusted: DataFrame, p: Params) -> list[tuple[str, list[str], list[str]]]:
-    """(text, subjects that hold, subjects that do not) of a bounded sample of labelled documents."""
-    marks = trusted.groupBy("doc").agg(
-        F.sort_array(F.collect_set(F.when(F.col("holds"), F.col("subject")))).alias("yes"), F.sort_array(F.collect_set(F.when(~F.col("holds"), F.col("subject")))).alias("no")
-    )
-    chosen = marks.orderBy(F.xxhash64("doc"), "doc").limit(p.seeds)
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null").join(chosen, "doc")
-    return [(r["text"], r["yes"], r["no"]) for r in rows.collect()]
-
-
-def _estimate(weight: np.ndarray, seen: np.ndarray, smooth: float) -> np.ndarray:
-    """Per term the share of each subject among its sentences, drawn to the subjects' shares of all by `smooth` sentences."""
-    base = weight.sum(axis=0)
-    base = base / max(base.sum(), 1e-9)
-    return (weight + smooth * base) / (seen + smooth)[:, None]
-
-
-def verified_terms(seeds: list[tuple[str, list[str], list[str]]], names: list[str], p: Params) -> tuple[list[str], np.ndarray]:
-    """The terms that lean to a subject among the seeds, and their shares: the first round, over the sample."""
-    at = {s: k for k, s in enumerate(names)}
-    split = [(sentences(t), [at[s] for s in yes if s in at]) for t, yes, _ in seeds]
-    held: dict[str, int] = {}
-    for sents, _ in split:
-        for w in {w for s in sents for w in s}:
-            held[w] = held.get(w, 0) + 1
-    words = sorted(w for w, n in held.items() if p.min_documents <= n <= max(p.min_documents, p.max_share * len(seeds)))
-    index = {w: k for k, w in enumerate(words)}
-    rows = [([index[w] for w in set(s) if w in index], yes) for sents, yes in split for s in sents]
-    share = np.zeros((len(words), len(names)))
-    for turn in range(3):
-        weight, seen = np.zeros((len(words), len(names))), np.zeros(len(words))
-        for terms, yes in rows:
-            if not terms:
-                continue
-            seen[terms] += 1
-            if not yes:
-                continue
-            if turn == 0:
-                weight[np.ix_(terms, yes)] += 1 / len(yes)
-                continue
-            score = (share[terms] * share[terms].max(axis=1, keepdims=True) * (share[terms].max(axis=1, keepdims=True) > 0.3)).sum(axis=0)
-            best = max(yes, key=lambda k: score[k])
-            if score[best] >= 0.5 * score.max() and score[best] >= 0.3:
-                weight[terms, best] += 1
-        share = _estimate(weight, seen, p.smooth)
-    lean = share.max(axis=1) if len(words) else np.zeros(0)
-    keep = sorted(np.flatnonzero(lean >= p.lean), key=lambda k: (-lean[k] * np.log1p(held[words[k]]), words[k]))[: p.terms]
-    return [words[k] for k in keep], share[keep].reshape(-1, len(names))
-
-
-def usual_terms(docs: DataFrame, key: str, text: str, n_documents: int, p: Params) -> list[str]:
-    """The terms that at least p.min_documents and at most p.max_share of a sample of documents hold, p.terms at most, the
-    more usual first. Counted by a groupBy; the sample is a share of the key's hash, all documents where they are few."""
-    share = min(1.0, p.sample / max(1, n_documents))
-    slim = docs.select(F.col(text).alias("text")).where((F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)) & F.col("text").isNotNull())
+def sentence_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, s, fresh, terms): one row per sentence with the hashes of its distinct words; the first `fresh` of them stand in
+    no earlier sentence of the document, so that documents can be counted without another look at the text."""
+    slim = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    kind = slim.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
         for batch in batches:
-            found: dict[str, int] = {}
-            for t in batch.column(0).to_pylist():
-                for w in {w for s in sentences(t) for w in s}:
-                    found[w] = found.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+            if len(number) > 2_000_000:
+                number.clear()
+            place, at, fresh, flat, ends = [], [], [], [], [0]
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                met: set[str] = set()
+                for s, words in enumerate(sentences(t)):
+                    here = set(words)
+                    new = here - met
+                    met |= new
+                    for w in (*new, *(here - new)):
+                        h = number.get(w)
+                        if h is None:
+                            h = number[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+                        flat.append(h)
+                    place.append(k)
+                    at.append(s)
+                    fresh.append(len(new))
+                    ends.append(len(flat))
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            arrays = [batch.column(0).take(pa.array(place, pa.int64())), pa.array(at, pa.int32()), pa.array(fresh, pa.int32()), terms]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "s", "fresh", "terms"])
 
-    sums = slim.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    most = max(p.min_documents, p.max_share * share * n_documents)
-    chosen = sums.where((F.col("n") >= p.min_documents) & (F.col("n") <= most)).orderBy(F.desc("n"), "term").limit(p.terms)
-    return [r["term"] for r in chosen.collect()]
+    return slim.mapInArrow(run, f"doc {kind}, s int, fresh int, terms array<bigint>")
 
 
-def reduced(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(doc, terms, starts): the numbers of a document's verified terms, sentence after sentence, and where each begins.
+def term_statistics(sents: DataFrame, n_documents: Column, p: Params) -> DataFrame:
+    """(term, seen): the sentences that hold each term that neither too few nor too many documents hold."""
+    each = sents.select("fresh", F.posexplode("terms").alias("i", "term"))
+    counts = each.groupBy("term").agg(F.count("*").alias("seen"), F.count_if(F.col("i") < F.col("fresh")).alias("df"))
+    return counts.where((F.col("df") >= p.min_documents) & (F.col("df") <= F.greatest(F.lit(p.min_documents), F.lit(p.max_share) * n_documents))).select("term", "seen")
 
-    Sentences without a verified term are left out; a document without any has no row.
-    """
-    number = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(terms)})
-    slim = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    kind = slim.schema["doc"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = number.value
-        for batch in batches:
-            place, flat, begins = [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                f, b = [], []
-                for s in sentences(t):
-                    found = {known[w] for w in s if w in known}
-                    if found:
-                        b.append(len(f))
-                        f += sorted(found)
-                if f:
-                    place.append(k)
-                    flat.append(f)
-                    begins.append(b)
-            arrays = [batch.column(0).take(pa.array(place, pa.int64())), pa.array(flat, pa.list_(pa.int32())), pa.array(begins, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "terms", "starts"])
-
-    return slim.mapInArrow(run, f"doc {kind}, terms array<int>, starts array<int>")
-
-
-def _assign(batch: pa.RecordBatch, share: np.ndarray, several: int, lean: float):
-    """Of a batch of (doc, terms, starts, yes, no): the terms, the sentence of each; of the sentences the subject
-    and whether it counts; of the documents the sentences of each subject."""
-    terms_of, starts_of = batch.column(1), batch.column(2)
-    o = terms_of.offsets.to_numpy()
-    terms = terms_of.values.to_numpy()[o[0] : o[-1]]
-    b = starts_of.offsets.to_numpy()
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(b))
-    starts = starts_of.values.to_numpy()[b[0] : b[-1]] + (o[:-1] - o[0])[owner]
-    top = share.max(axis=1, keepdims=True)
-    score = np.add.reduceat(np.where(top >= lean, share * top, 0.0)[terms], starts, axis=0)
-    n, k = batch.num_rows, share.shape[1]
-    free = np.ones((n, k), bool)
-    yes, no = np.zeros((n, k), bool), np.zeros((n, k), bool)
-    for mask, column in ((yes, batch.column(3)), (no, batch.column(4))):
-        at = column.offsets.to_numpy()
-        mask[np.repeat(np.arange(n), np.diff(at)), column.values.to_numpy()[at[0] : at[-1]]] = True
-    clamped = yes.any(axis=1)
-    free[clamped] = yes[clamped]
-    free &= ~no
-    best = score.argmax(axis=1)
-    told = score.max(axis=1) > 0
-    count = np.bincount((owner * k + best)[told], minlength=n * k).reshape(n, k)
-    taken = free & (clamped[:, None] | (count >= several))
-    # A trusted document of one subject hands it on from its other sentences too, which is how a term that no other
-    # seed holds gets a first link.
-    single = (yes.sum(axis=1) == 1)[owner]
-    best = np.where(single & ~told, yes.argmax(axis=1)[owner], best)
-    counts = (told & taken[owner, best]) | (single & ~told)
-    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-    return terms, sentence, best, counts, count
-
-
-def propagate(graph: DataFrame, share: np.ndarray, p: Params) -> np.ndarray:
-    """The shares after p.rounds rounds over all documents of graph (doc, terms, starts, yes, no).
-
-    A round joins the documents' terms with the shares, gives each sentence its subject, and adds the sentences up by
-    term; each task hands on one row a term, which are summed by a groupBy. The result is bounded by terms x subjects.
+def verified_terms(weights: DataFrame, seen: DataFrame, p: Params) -> DataFrame:
+    """(term, subject, share, worth) of the terms that lean to a subject, from (term, subject, weight): share is the part of
+    the term's sentences given to the subject, worth the share times the term's greatest one."""
+    shares = weights.join(seen, "term").select("term", "subject", (F.col("weight") / (F.col("seen") + p.smooth)).alias("share"))
+    top = F.max("share").over(Window.partitionBy("term"))
+    return shares.withColumn("top", top).where((F.col("top") >= p.lean) & (F.col("share") >= p.faint)).select("term", "subject", "share", (F.col("share") * F.col("top")).alias("worth"))
+
+
+def told_sentences(sents: DataFrame, labels: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """(doc, s, subject, n): the subject of each sentence with verified terms, and how many sentences of its document have
+    it; with marks, only such a subject as the document's labels allow. All groups are within a document, by which sents is
+    partitioned."""
+    met = sents.select("doc", "s", F.explode("terms").alias("term")).join(labels.select("term", "subject", "worth"), "term")
+    sums = met.groupBy("doc", "s", "subject").agg(F.sum("worth").alias("w"))
+    if marks is not None:
+        sums = sums.join(marks, "doc", "left").where(F.when(_clamped(), F.array_contains("yes", F.col("subject"))).otherwise(~F.coalesce(F.array_contains("no", F.col("subject")), F.lit(False))))
+    best = sums.groupBy("doc", "s").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("subject")).alias("k"))).alias("m")).select("doc", "s", (-F.col("m.k")).alias("subject"))
+    return best.withColumn("n", F.count("*").over(Window.partitionBy("doc", "subject")))
+
+
+def _clamped() -> Column:
+    return F.coalesce(F.size("yes") > 0, F.lit(False))
+
+
+def handed_on(sents: DataFrame, labels: DataFrame, marks: DataFrame, p: Params) -> DataFrame:
+    """(term, subject, weight): the sentences of each subject that hold a term, after one round over the documents of sents.
+
+    marks (doc, yes, no) clamps: a labelled document hands on what is in yes only, with the weight p.trust a sentence, any
+    other what several of its sentences agree on and what is not in no. A document of one subject in yes hands it on from
+    its other sentences too, which is how a term that no other seed holds gets a first link.
     """
-    subjects = share.shape[1]
+    told = told_sentences(sents, labels, marks).join(marks.select("doc", "yes"), "doc", "left")
+    passed = told.where(_clamped() | (F.col("n") >= p.several)).select("doc", "s", "subject", F.when(_clamped(), p.trust).otherwise(1.0).alias("weight"))
+    single = sents.select("doc", "s").join(marks.where(F.size("yes") == 1).select("doc", F.col("yes")[0].alias("subject")), "doc").withColumn("weight", F.lit(p.trust))
+    passed = passed.unionByName(single.join(told.select("doc", "s"), ["doc", "s"], "left_anti"))
+    each = sents.select("doc", "s", "terms").join(passed, ["doc", "s"]).select("subject", "weight", F.explode("terms").alias("term"))
+    return each.groupBy("term", "subject").agg(F.sum("weight").alias("weight"))
+
+
+def propagate(sents: DataFrame, marks: DataFrame, n_documents: Column, p: Params) -> DataFrame:
+    """(term, subject, share, worth): the terms' subjects when they stand still."""
+    usual = stored(term_statistics(sents, n_documents, p))
+    seeds = stored(sents.join(marks.where(F.size("yes") > 0).select("doc"), "doc", "left_semi").select("doc", "s", "terms"))
+    known = stored(seeds.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen")).join(usual.select("term"), "term", "left_semi"))
+    seen = stored(usual.join(known.withColumnRenamed("seen", "own"), "term", "left").select("term", (F.col("seen") + (p.trust - 1) * F.coalesce("own", F.lit(0))).alias("seen")))
+    first = seeds.join(marks, "doc").select("terms", F.size("yes").alias("m"), F.explode("yes").alias("subject"))
+    weights = first.select("subject", "m", F.explode("terms").alias("term")).groupBy("term", "subject").agg(F.sum(1 / F.col("m")).alias("weight"))
+    labels = stored(verified_terms(weights, known, p))
+    for _ in range(p.turns):
+        weights = handed_on(seeds, labels, marks, p).withColumn("weight", F.col("weight") / p.trust)
+        labels = stored(verified_terms(weights, known, p))
     for _ in range(p.rounds):
-        if not len(share):
+        after = stored(verified_terms(handed_on(sents, labels, marks, p), seen, p))
+        main = [x.groupBy("term").agg(F.max_by("subject", "share").alias("k")) for x in (labels, after)]
+        moved = main[0].join(main[1].withColumnRenamed("k", "now"), "term", "full").agg(F.count_if(~F.col("k").eqNullSafe(F.col("now"))).alias("moved"), F.count("*").alias("n")).first()
+        labels = after
+        if moved["moved"] <= p.still * moved["n"]:
             break
-        handed = graph.sparkSession.sparkContext.broadcast(share)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = handed.value
-            weight, seen = np.zeros((len(now), subjects)), np.zeros(len(now))
-            for batch in batches:
-                if batch.num_rows:
-                    terms, sentence, best, counts, _ = _assign(batch, now, p.several, p.lean)
-                    np.add.at(seen, terms, 1)
-                    ok = counts[sentence]
-                    np.add.at(weight, (terms[ok], best[sentence[ok]]), 1)
-            met = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(seen[met]), pa.array(list(weight[met]), pa.list_(pa.float64()))], ["term", "seen", "weight"])
-
-        parts = graph.mapInArrow(run, "term int, seen double, weight array<double>")
-        sums = parts.groupBy("term").agg(F.sum("seen").alias("seen"), *(F.sum(F.col("weight")[k]).alias(f"w{k}") for k in range(subjects)))
-        weight, seen = np.zeros_like(share), np.zeros(len(share))
-        for r in sums.toPandas().itertuples(index=False):
-            seen[r.term] = r.seen
-            weight[r.term] = r[2:]
-        after = _estimate(weight, seen, p.smooth)
-        share = np.where(seen[:, None] > 0, after, share)
-    return share
+    return labels
 
 
 def subjects_of(docs: DataFrame, key: str, text: str, labels: DataFrame, names: list[str], p: Params = Params()) -> DataFrame:
-    """(key, subject, n_sentences, share): each document and each subject to which p.several of its sentences or more are given.
+    """(key, subject, n_sentences, share): each document and each subject to which p.several of its sentences or more are
+    given, and each that annotators see in it to which one is given.
 
     share is the part of the document's sentences with verified terms. Documents with null, empty or blank text, and those
     without any subject, have no row; rows of one key are one document only if the key is unique, as it should be.
-    labels has the columns of key, subject and tag (T, F, ?); a document's own labels clamp it during propagation, while
-    the result counts sentences for every document alike, so that a wrong label does not show in it.
+    labels has the columns of key, subject and tag (T, F, ?), names is the closed list of subjects; labels of others take no
+    part.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     names = sorted(names)
-    trusted = trusted_labels(labels, key, "subject", "tag")
-    terms, share = verified_terms(seed_documents(docs, key, text, trusted, p), names, p)
-    n = docs.count()
-    known = set(terms)
-    terms = terms + [w for w in usual_terms(docs, key, text, n, p) if w not in known]
-    share = np.vstack([share, np.zeros((len(terms) - len(share), len(names)))])
     at = F.create_map(*(F.lit(x) for k, s in enumerate(names) for x in (s, k))) if names else F.expr("map('', 0)")
-    numbered = trusted.select("doc", F.try_element_at(at, "subject").alias("s"), "holds").where("s is not null")
-    marks = numbered.groupBy("doc").agg(F.collect_set(F.when(F.col("holds"), F.col("s"))).alias("yes"), F.collect_set(F.when(~F.col("holds"), F.col("s"))).alias("no"))
-    none = F.expr("cast(array() as array<int>)")
-    graph = reduced(docs, key, text, terms).join(marks, "doc", "left").select("doc", "terms", "starts", F.coalesce("yes", none).alias("yes"), F.coalesce("no", none).alias("no"))
-    graph = graph.checkpoint()
-    final = docs.sparkSession.sparkContext.broadcast(propagate(graph, share, p))
-    kind = graph.schema["doc"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            *_, count = _assign(batch, final.value, p.several, p.lean)
-            d, s = np.nonzero(count >= p.several)
-            total = count.sum(axis=1)
-            n = count[d, s]
-            arrays = [batch.column(0).take(pa.array(d)), pa.array([names[k] for k in s], pa.string()), pa.array(n, pa.int64()), pa.array(np.round(n / total[d], 4))]
-            yield pa.RecordBatch.from_arrays(arrays, [key, "subject", "n_sentences", "share"])
-
-    return graph.mapInArrow(run, f"`{key}` {kind}, subject string, n_sentences long, share double")
+    trusted = trusted_labels(labels, key, "subject", "tag").select("doc", F.try_element_at(at, "subject").alias("s"), "holds").where("s is not null")
+    marks = stored(trusted.groupBy("doc").agg(F.sort_array(F.collect_set(F.when(F.col("holds"), F.col("s")))).alias("yes"), F.sort_array(F.collect_set(F.when(~F.col("holds"), F.col("s")))).alias("no")))
+    sents = sentence_terms(docs, key, text).repartition("doc").checkpoint()
+    final = propagate(sents, marks, docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("n")).scalar(), p)
+    told = told_sentences(sents, final).groupBy("doc", "subject").agg(F.count("*").alias("n_sentences"))
+    shared = told.withColumn("share", F.round(F.col("n_sentences") / F.sum("n_sentences").over(Window.partitionBy("doc")), 4)).join(marks.select("doc", "yes"), "doc", "left")
+    kept = shared.where((F.col("n_sentences") >= p.several) | F.coalesce(F.array_contains("yes", F.col("subject")), F.lit(False)))
+    named = F.element_at(F.array(*map(F.lit, names)) if names else F.expr("array('')"), F.col("subject") + 1)
+    return kept.select(F.col("doc").alias(key), named.alias("subject"), "n_sentences", "share")
 
 
 def make_up(found: DataFrame, key: str) -> DataFrame:
