@@ -102,6 +102,18 @@ def sentence_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return slim.mapInArrow(run, f"doc {kind}, s int, fresh int, terms array<bigint>")
 
 
+def _by_document(sents: DataFrame) -> DataFrame:
+    """The sentences partitioned and sorted by document, cut by checkpoint(). The plan that is cut is made without adaptive
+    re-planning, because only then its partitioning and order are known to later steps, which thus need no exchange."""
+    spark, setting = sents.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return sents.repartition("doc").sortWithinPartitions("doc", "s").checkpoint()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def term_statistics(sents: DataFrame, n_documents: Column, p: Params) -> DataFrame:
     """(term, seen): the sentences that hold each term that neither too few nor too many documents hold."""
     each = sents.select("fresh", F.posexplode("terms").alias("i", "term"))
@@ -184,7 +196,7 @@ def subjects_of(docs: DataFrame, key: str, text: str, labels: DataFrame, names:
     at = F.create_map(*(F.lit(x) for k, s in enumerate(names) for x in (s, k))) if names else F.expr("map('', 0)")
     trusted = trusted_labels(labels, key, "subject", "tag").select("doc", F.try_element_at(at, "subject").alias("s"), "holds").where("s is not null")
     marks = stored(trusted.groupBy("doc").agg(F.sort_array(F.collect_set(F.when(F.col("holds"), F.col("s")))).alias("yes"), F.sort_array(F.collect_set(F.when(~F.col("holds"), F.col("s")))).alias("no")))
-    sents = sentence_terms(docs, key, text).repartition("doc").checkpoint()
+    sents = _by_document(sentence_terms(docs, key, text))
     final = propagate(sents, marks, docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("n")).scalar(), p)
     told = told_sentences(sents, final).groupBy("doc", "subject").agg(F.count("*").alias("n_sentences"))
     shared = told.withColumn("share", F.round(F.col("n_sentences") / F.sum("n_sentences").over(Window.partitionBy("doc")), 4)).join(marks.select("doc", "yes"), "doc", "left")

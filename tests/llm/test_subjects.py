@@ -36,7 +36,9 @@ def test_subjects_of_held_out_documents(spark):
     held = {x for x in truth if x[0] >= 120}
     found = {x for x in got if x[0] >= 120}
     assert len(found & held) / len(held) >= 0.95 and len(found & held) / len(found) >= 0.95
-    assert not {k for k, _ in got} & {None, 900, 901, 902, 903} and min(got.values()) >= p.several
+    assert not {k for k, _ in got} & {None, 900, 901, 902, 903} and min(n for (k, _), n in got.items() if k >= 120) >= p.several
+    seen = {(k, s) for k, _, s, tag in labels if tag == "T"}
+    assert all(x in seen for x, n in got.items() if n < p.several)  # a clamped subject needs one sentence only
 
 
 def test_nothing_to_learn_from(spark):
