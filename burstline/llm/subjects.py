@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstline.session import ensure_checkpoint_dir, stored
@@ -105,13 +106,19 @@ def sentence_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _by_document(sents: DataFrame) -> DataFrame:
     """The sentences partitioned and sorted by document, cut by checkpoint(). The plan that is cut is made without adaptive
     re-planning, because only then its partitioning and order are known to later steps, which thus need no exchange."""
-    spark, setting = sents.sparkSession, "spark.sql.adaptive.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
+    with _set(sents.sparkSession, "spark.sql.adaptive.enabled"):
         return sents.repartition("doc").sortWithinPartitions("doc", "s").checkpoint()
+
+
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str = "false") -> Iterator[None]:
+    """A setting of the session while a step is planned and run, then as it was."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
     finally:
-        spark.conf.set(setting, before)
+        spark.conf.set(name, before)
 
 
 def term_statistics(sents: DataFrame, n_documents: Column, p: Params) -> DataFrame:
@@ -150,12 +157,13 @@ def handed_on(sents: DataFrame, labels: DataFrame, marks: DataFrame, p: Params)
 
     marks (doc, yes, no) clamps: a labelled document hands on what is in yes only, with the weight p.trust a sentence, any
     other what several of its sentences agree on and what is not in no. A document of one subject in yes hands it on from
-    its other sentences too, which is how a term that no other seed holds gets a first link.
+    every sentence, which is how a term that no other seed holds gets a first link.
     """
     told = told_sentences(sents, labels, marks).join(marks.select("doc", "yes"), "doc", "left")
-    passed = told.where(_clamped() | (F.col("n") >= p.several)).select("doc", "s", "subject", F.when(_clamped(), p.trust).otherwise(1.0).alias("weight"))
-    single = sents.select("doc", "s").join(marks.where(F.size("yes") == 1).select("doc", F.col("yes")[0].alias("subject")), "doc").withColumn("weight", F.lit(p.trust))
-    passed = passed.unionByName(single.join(told.select("doc", "s"), ["doc", "s"], "left_anti"))
+    several = told.where(F.when(_clamped(), F.size("yes") > 1).otherwise(F.col("n") >= p.several))
+    passed = several.select("doc", "s", "subject", F.when(_clamped(), p.trust).otherwise(1.0).alias("weight"))
+    single = marks.where(F.size("yes") == 1).select("doc", F.col("yes")[0].alias("subject"), F.lit(p.trust).alias("weight"))
+    passed = passed.unionByName(sents.select("doc", "s").join(single, "doc"))
     each = sents.select("doc", "s", "terms").join(passed, ["doc", "s"]).select("subject", "weight", F.explode("terms").alias("term"))
     return each.groupBy("term", "subject").agg(F.sum("weight").alias("weight"))
 
@@ -173,7 +181,8 @@ def propagate(sents: DataFrame, marks: DataFrame, n_documents: Column, p: Params
         weights = handed_on(seeds, labels, marks, p).withColumn("weight", F.col("weight") / p.trust)
         labels = stored(verified_terms(weights, known, p))
     for _ in range(p.rounds):
-        after = stored(verified_terms(handed_on(sents, labels, marks, p), seen, p))
+        with _set(sents.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"):  # joined by (doc, s), partitioned by doc
+            after = stored(verified_terms(handed_on(sents, labels, marks, p), seen, p))
         main = [x.groupBy("term").agg(F.max_by("subject", "share").alias("k")) for x in (labels, after)]
         moved = main[0].join(main[1].withColumnRenamed("k", "now"), "term", "full").agg(F.count_if(~F.col("k").eqNullSafe(F.col("now"))).alias("moved"), F.count("*").alias("n")).first()
         labels = after
