@@ -2,9 +2,9 @@
 
 Method: compression classification. Per language a raw-content dictionary for zstandard is made of the words that are
 usual in it; a text is encoded with each dictionary and belongs to the language of the smallest size. Where the margin
-is narrow it is encoded again at a level that searches more and the sizes are added; a margin of nothing is rejected. A text whose first and last words
-are of different languages is encoded in two parts at every possible border, and is mixed where the best border saves
-enough over one language.
+is narrow it is encoded again at a level that searches more and the sizes are added; what is still narrow is rejected and
+gets no language. Windows along a text are classified alike; where two of them differ, the text is encoded in two parts at
+every possible border between them, and is cut where the best border saves enough over one language, each part again.
 
 The dictionaries are made on the driver of a bounded sample of labelled rows (Params.sample a label); every other step
 runs over all rows, in Arrow batches without a shuffle.
@@ -17,6 +17,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
+from operator import add
 
 import pyarrow as pa
 import zstandard
@@ -38,8 +40,9 @@ class Params:
     """sample: labelled rows a language for the dictionaries, at most about this many. dictionary: bytes of one.
 
     words: the least words a text needs. window: the least words, names not counted, of each language in a mixed text.
-    probe: words looked at on both ends of a text for a change of language. margin: bytes by which the best language must
-    win without a closer look; saved: bytes that a border must save. rounds: of training.
+    probe: words of a window in which a change of language is looked for. margin: bytes by which the best language must
+    win without a closer look; reject: the margin, after a closer look, up to which a text gets no language; saved: bytes
+    that a border must save. rounds: of training.
     """
 
     languages: tuple[str, ...] = tuple(LANGUAGES)
@@ -49,10 +52,15 @@ class Params:
     window: int = 5
     probe: int = 8
     margin: int = 2
+    reject: int = 1
     saved: int = 4
     rounds: int = 2
 
 
+#: Words that are encoded at once; a tweet has fewer.
+CHUNK = 64
+
+
 def language_of_label(label: Column) -> Column:
     """The language that a label names in any spelling: letter case, a region added, a three-letter or withdrawn code.
 
@@ -111,40 +119,88 @@ class Model:
         each = [[len(x) for x in c.multi_compress_to_buffer(texts, threads=1)] for c in self.tools()[careful]]
         return list(zip(*each, strict=True))
 
+    def weigh(self, lists: list[list[str]], careful: bool = False) -> list[tuple[int, ...]]:
+        """Per list of words its size under each dictionary. Long lists are encoded in chunks whose sizes are added, so that
+        every word is encoded with the dictionary in reach and not with what the text itself said before."""
+        chunks = [(k, ws[i : i + CHUNK]) for k, ws in enumerate(lists) for i in range(0, max(1, len(ws)), CHUNK)]
+        out: list[tuple[int, ...]] = [()] * len(lists)
+        for (k, _), s in zip(chunks, self.sizes([_pack(ws) for _, ws in chunks], careful), strict=True):
+            out[k] = tuple(map(add, out[k], s)) if out[k] else s
+        return out
+
     def classify(self, lists: list[list[str]]) -> list[list[tuple[int, int, str | None, float]]]:
         """Per list of words its stretches (from word, to word, language, confidence); language null where rejected."""
         p, names = self.params, list(self.dictionaries)
         out: list[list[tuple[int, int, str | None, float]]] = [[] for _ in lists]
         live = [k for k, ws in enumerate(lists) if len(ws) >= p.words]
-        packed = [_pack(lists[k]) for k in live]
-        sizes = self.sizes(packed)
+        sizes = self.weigh([lists[k] for k in live])
         close = [i for i, s in enumerate(sizes) if _margin(s) < p.margin]
-        for i, s in zip(close, self.sizes([packed[i] for i in close], True), strict=True):
+        for i, s in zip(close, self.weigh([lists[live[i]] for i in close], True), strict=True):
             sizes[i] = tuple(x + y for x, y in zip(sizes[i], s, strict=True))
         for i, k in enumerate(live):
             s = sizes[i]
             best = min(range(len(s)), key=s.__getitem__)
-            out[k] = [(0, len(lists[k]), names[best] if _margin(s) > 0 else None, confidence(s))]
-        long = [i for i, k in enumerate(live) if len(lists[k]) >= 2 * p.window]
-        parts = []
-        for i in long:
-            ws = lists[live[i]]
-            n = min(p.probe, len(ws) // 2)
-            parts += [_pack(ws[:n]), _pack(ws[-n:])]
-        ends = self.sizes(parts)
-        for at, i in enumerate(long):
-            head, tail = ends[2 * at], ends[2 * at + 1]
-            a, b = min(range(len(head)), key=head.__getitem__), min(range(len(tail)), key=tail.__getitem__)
-            if a != b and (cut := self._border(lists[live[i]], a, b)):
-                ws = lists[live[i]]
-                sa, sb = self.sizes([_pack(ws[:cut]), _pack(ws[cut:])], True)
-                out[live[i]] = [(0, cut, names[a], confidence(sa)), (cut, len(ws), names[b], confidence(sb))]
+            out[k] = [(0, len(lists[k]), names[best] if _margin(s) > p.reject else None, confidence(s))]
+        for k, cuts in self._cuts([(k, lists[k]) for k in live if len(lists[k]) >= 2 * p.window]).items():
+            while True:
+                ends = [0, *cuts, len(lists[k])]
+                each = self.weigh([lists[k][a:b] for a, b in pairwise(ends)], True)
+                best = [min(range(len(s)), key=s.__getitem__) for s in each]
+                kept = [c for c, (x, y) in zip(cuts, pairwise(best), strict=True) if x != y]
+                if len(kept) == len(cuts):  # else stretches of one language are joined again
+                    break
+                cuts = kept
+            out[k] = [(a, b, names[x], confidence(s)) for (a, b), x, s in zip(pairwise(ends), best, each, strict=True)]
         return out
 
+    def _cuts(self, texts: list[tuple[int, list[str]]]) -> dict[int, list[int]]:
+        """Where each text changes its language: key to borders, texts of one language left out.
+
+        Both ends and, in longer texts, the windows between them are classified; a change between two of them is looked for
+        at every possible border, and each side of a border that saves enough is searched again, so a text may have any
+        number of stretches. The work for one text grows with its length.
+        """
+        p = self.params
+        found: dict[int, list[int]] = {}
+        open_ = [(k, 0, ws) for k, ws in texts]
+        while open_:
+            spots = [_spots(len(ws), p) for _, _, ws in open_]
+            told = iter(self.sizes([_pack(ws[a:b]) for (_, _, ws), each in zip(open_, spots, strict=True) for a, b in each]))
+            after = []
+            for (k, start, ws), each in zip(open_, spots, strict=True):
+                sizes = [next(told) for _ in each]
+                if cut := self._change(ws, each, sizes):
+                    found.setdefault(k, []).append(start + cut)
+                    after += [(k, start + at, part) for at, part in ((0, ws[:cut]), (cut, ws[cut:])) if len(part) >= 2 * p.window]
+            open_ = after
+        return {k: sorted(cuts) for k, cuts in found.items()}
+
+    def _change(self, ws: list[str], spots: list[tuple[int, int]], sizes: list[tuple[int, ...]]) -> int | None:
+        """A border in the words, or null: between the two ends, else between the first end and the first window inside
+        that is clearly of another language, if another border leads back from it."""
+        best = [min(range(len(s)), key=s.__getitem__) for s in sizes]
+        a, b = best[0], best[-1]
+        if len(ws) > 8 * self.params.probe:  # a long text is searched only around a change of windows
+            for (x, y), (c, d) in zip(pairwise(best), pairwise(spots), strict=True):
+                start = max(0, c[0] - self.params.probe)
+                if x != y and (cut := self._border(ws[start : d[1] + self.params.probe], x, y)):
+                    return start + cut
+            return None
+        if a != b and (cut := self._border(ws, a, b)):
+            return cut
+        for (start, end), c, s in zip(spots[1:-1], best[1:-1], sizes[1:-1], strict=True):
+            if c not in (a, b) and s[a] - s[c] >= self.params.saved:
+                cut, back = self._border(ws[:end], a, c), self._border(ws[start:], c, b)
+                if cut and back and start + back - cut >= self.params.window:
+                    return cut
+        return None
+
     def _border(self, ws: list[str], a: int, b: int) -> int | None:
         """The border that divides the words best between two languages; null if one language alone does as well."""
         p, tools = self.params, self.tools()[0]
         cuts = range(p.window, len(ws) - p.window + 1)
+        if not cuts:
+            return None
         heads = [len(x) for x in tools[a].multi_compress_to_buffer([_pack(ws[:c]) for c in cuts], threads=1)]
         tails = [len(x) for x in tools[b].multi_compress_to_buffer([_pack(ws[c:]) for c in cuts], threads=1)]
         best, cut = min((h + t, c) for h, t, c in zip(heads, tails, cuts, strict=True))
@@ -152,6 +208,12 @@ class Model:
         return cut if min(alone) - (best - frame[a]) >= p.saved else None
 
 
+def _spots(n: int, p: Params) -> list[tuple[int, int]]:
+    """The windows of n words that are classified: both ends and, where words lie between them, steps in between."""
+    w = min(p.probe, n // 2)
+    return [(0, w), *((k, k + w) for k in range(w // 2, n - w, max(1, w // 2)) if n >= 3 * p.window), (n - w, n)]
+
+
 def _pack(words: list[str]) -> bytes:
     return f" {' '.join(words)} ".encode()
 

@@ -44,6 +44,28 @@ def test_mixed_texts_and_their_border(model):
     assert ok >= 90
 
 
+def test_texts_that_change_more_than_once(model):
+    """Equal ends with another language between them, and three languages: each stretch comes out."""
+    rng = random.Random(5)
+    ok = 0
+    for k in range(60):
+        a, b, c = rng.sample(list(WORDS), 3)
+        langs = [a, b, a] if k % 2 else [a, b, c]
+        (told,) = model.classify([model.words(" ".join(text(x, 12, rng) for x in langs))])
+        ok += [x[2] for x in told] == langs and told[0][0] == 0 and told[-1][1] == 36 and all(x[1] == y[0] for x, y in zip(told, told[1:]))
+    assert ok >= 54
+    (told,) = model.classify([model.words(" ".join(text(x, 300, rng) for x in ("en", "de", "en", "ru", "es")))])
+    assert [x[2] for x in told] == ["en", "de", "en", "ru", "es"]
+    alone = [model.words(text(lang, rng.randint(16, 60), rng)) for lang in WORDS for _ in range(25)]
+    assert sum(len(t) > 1 for t in model.classify(alone)) <= 2
+
+
+def test_narrow_margins_are_rejected(model):
+    sizes = G._margin((30, 31, 40, 41))
+    assert sizes == 1 and model.params.reject >= sizes
+    assert model.classify([["qqq", "xxx", "zzz", "www"]])[0][0][2] is None
+
+
 def test_what_belongs_to_no_language(model):
     assert model.words("@who #tag http://x.example/a1 1234 12:30 Zorbaldt") == []
     assert model.classify([[], ["the", "and"]]) == [[], []]
