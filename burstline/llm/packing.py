@@ -46,8 +46,13 @@ class _Stock:
         return size, item
 
 
-def pack(items: list[tuple[int, object]], tiers: list[int]) -> list[tuple[int, list[tuple[int, object]]]]:
-    """Containers (capacity, [(size, item)...]) of items (size, item) of at most the largest tier; sizes of 0 are left out."""
+def pack(items: list[tuple[int, object]], tiers: list[int], capacity: int | None = None) -> list[tuple[int, list[tuple[int, object]]]]:
+    """Containers (capacity, [(size, item)...]) of items (size, item) of at most the largest tier; sizes of 0 are left out.
+
+    Items are routed to the smallest tier that holds them. From the longest tier down, its items open containers, of the
+    tier's own size or, if capacity is given, all of that one; what an item leaves free is filled with the largest items of
+    its tier that fit, then with those of the tiers below.
+    """
     tiers = sorted(tiers)
     stocks = [_Stock() for _ in tiers]
     for size, item in sorted(items, key=lambda x: (x[0], str(x[1])), reverse=True):
@@ -58,7 +63,7 @@ def pack(items: list[tuple[int, object]], tiers: list[int]) -> list[tuple[int, l
     out = []
     for k in range(len(tiers) - 1, -1, -1):
         while stocks[k].sizes:
-            gap, inside, below = tiers[k], [], k
+            gap, inside, below = capacity or tiers[k], [], k
             while gap > 0 and below >= 0:
                 got = stocks[below].take(gap)
                 if got is None:
@@ -66,7 +71,7 @@ def pack(items: list[tuple[int, object]], tiers: list[int]) -> list[tuple[int, l
                     continue
                 inside.append(got)
                 gap -= got[0]
-            out.append((tiers[k], inside))
+            out.append((capacity or tiers[k], inside))
     return out
 
 
@@ -91,7 +96,7 @@ def _packer(key: str, per_step: int):
                 full.append((top, [(top, (k, piece, start))]))
                 start, piece = start + top, piece + 1
             items.append((n - start, (k, piece, start)))
-        containers = full + pack(items, tiers)
+        containers = full + pack(items, tiers, top if group["fixed"].iloc[0] else None)
         by_tier = defaultdict(list)
         for at, (capacity, inside) in enumerate(containers):
             by_tier[capacity].append((at, sum(s for s, _ in inside)))
@@ -109,10 +114,11 @@ def _packer(key: str, per_step: int):
     return run
 
 
-def pack_table(sizes: DataFrame, key: str, n_tokens: str, plans: list[list[int]], n_items: int, per_step: int = 64, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack_table(sizes: DataFrame, key: str, n_tokens: str, plans: list[list[int]], n_items: int, per_step: int = 64, group_items: int = GROUP_ITEMS, fixed: bool = False) -> DataFrame:
     """(capacity, container, step, key, piece, start, n_tokens, free): every item of every plan, placed once.
 
-    A plan is a list of capacities that are packed together; its largest is what items are split by. piece counts the
+    A plan is a list of context sizes that are packed together; its largest is what items are split by. Containers have the
+    size of the tier that opens them; fixed gives them all the plan's largest. piece counts the
     parts of an item from 0, start is its first token in the item, free what its container has left. Null, zero and
     negative sizes and null keys take no part; rows with one key are one item of the greatest size. n_items, at least the
     number of rows, sets the number of groups; the sizes themselves are computed once.
@@ -120,7 +126,7 @@ def pack_table(sizes: DataFrame, key: str, n_tokens: str, plans: list[list[int]]
     clean = sizes.where(F.col(key).isNotNull() & (F.col(n_tokens) > 0)).groupBy(F.col(key).alias("k")).agg(F.max(n_tokens).alias("n_tokens"))
     groups = max(1, -(-n_items // group_items))
     kind = clean.schema["k"].dataType.simpleString()
-    table = F.array(*(F.struct(F.lit(k).alias("plan"), F.array(*map(F.lit, p)).alias("tiers")) for k, p in enumerate(plans)))
+    table = F.array(*(F.struct(F.lit(k).alias("plan"), F.array(*map(F.lit, p)).alias("tiers"), F.lit(fixed).alias("fixed")) for k, p in enumerate(plans)))
     each = clean.select("k", "n_tokens", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("grp"), F.explode(table).alias("p"))
-    each = each.select("k", "n_tokens", "grp", "p.plan", "p.tiers")
+    each = each.select("k", "n_tokens", "grp", "p.plan", "p.tiers", "p.fixed")
     return each.groupBy("plan", "grp").applyInPandas(_packer(key, per_step), PLACED.format(key=f"`{key}`", kind=kind))

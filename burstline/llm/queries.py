@@ -153,6 +153,10 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
+#: Context sizes that the documents of one capacity are routed to, each half of the one before.
+TIERS = 5
+
+
 def _placed(spark: SparkSession, d: str, together: bool) -> DataFrame:
     docs = table(spark, d, "documents")
     bins = [tuple(r) for r in table(spark, d, "token_bins").groupBy("tokenizer", "capacity").agg(F.min("bin_id")).orderBy("capacity").collect()]
@@ -160,20 +164,21 @@ def _placed(spark: SparkSession, d: str, together: bool) -> DataFrame:
     if any(t != name for t, _, _ in bins):
         raise ValueError("containers of one call share a tokenizer")
     capacities = [c for _, c, _ in bins]
-    plans = [capacities] if together else [[c] for c in capacities]
+    plans = [capacities] if together else [sorted({c >> k for k in range(TIERS)} - {0}) for c in capacities]
     sizes = bpe.token_lengths(docs.where(F.col("text") != ""), "doc_id", "text", name)
     number = F.create_map(*(F.lit(x) for _, c, b in bins for x in (c, b)))
-    placed = packing.pack_table(sizes, "doc_id", "n_tokens", plans, docs.count())
+    placed = packing.pack_table(sizes, "doc_id", "n_tokens", plans, docs.count(), fixed=not together)
     return placed.select(F.element_at(number, F.col("capacity")).alias("bin_id"), *placed.columns)
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    """All documents in containers of each capacity, one complete placement a capacity."""
+    """All documents in containers of each capacity, one complete placement a capacity: documents are routed to tiers of the
+    capacity, half of it, a quarter and so on, the long ones open containers and the shorter tiers fill their gaps."""
     return _placed(spark, d, False)
 
 
 def p9_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """All documents once, each in a container of its own tier or in the gap of a longer one."""
+    """All documents once over all capacities, each in a container of its own tier or in the gap of a longer one."""
     return _placed(spark, d, True)
 
 

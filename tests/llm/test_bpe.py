@@ -85,3 +85,32 @@ def test_packing_fills_and_splits(spark):
         assert (pieces["start"].to_numpy() == np.append(0, np.cumsum(pieces["n_tokens"]))[:-1]).all()
     steps = got[got["container"].str.startswith("1-")].groupby(["capacity", "step"])["n_tokens"].sum()
     assert len(steps) > 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=120))
+def test_tiers_of_one_capacity(sizes):
+    out = K.pack([(s, k) for k, s in enumerate(sizes)], [8, 16, 32, 64], 64)
+    assert sorted(i for _, inside in out for _, i in inside) == [k for k, s in enumerate(sizes) if s]
+    assert all(capacity == 64 and sum(s for s, _ in inside) <= 64 for capacity, inside in out)
+    opened = [next(t for t in (8, 16, 32, 64) if inside[0][0] <= t) for _, inside in out]
+    assert opened == sorted(opened, reverse=True)  # the long tiers open containers first
+    rest = sorted(s for s in sizes if s)
+    for _, inside in out:
+        gap = 64
+        for size, _ in inside:  # each gap takes the largest item that is left and fits
+            assert size == max(s for s in rest if s <= gap)
+            rest.remove(size)
+            gap -= size
+        assert not any(s <= gap for s in rest)
+
+
+def test_steps_of_even_load(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(x)) for k, x in enumerate(rng.integers(1, 400, 6000))]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    got = K.pack_table(df, "doc_id", "n_tokens", [[64, 128, 256, 512]], len(rows), per_step=32, group_items=2000, fixed=True).toPandas()
+    assert set(got["capacity"]) == {512} and got["n_tokens"].sum() == sum(n for _, n in rows)
+    per_step = got.groupby("step")["container"].nunique()
+    load = got.groupby("step")["n_tokens"].sum() / per_step
+    assert per_step.max() <= 32 and load.min() > 0.9 * load.max()  # over all groups
