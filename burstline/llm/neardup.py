@@ -7,7 +7,8 @@ that come near t are verified on their words.
 
 Layout: equal word sets are collapsed first (in the task, before the shuffle), so copies cost nothing further. Sets are
 partitioned once by the first 40 bits of their hash and that partitioning serves both joins and the verification. Band
-entries travel as packed blobs of 9 bytes an entry, not as rows. A key under which more than `hot` sets meet emits no
+entries travel as packed blobs of 9 bytes an entry, not as rows; of a key that is hot within a task only so many entries
+travel as tell its bucket that it is hot, so a key that a third of all sets share does not fill one task. A key under which more than `hot` sets meet emits no
 pairs there; its sets are joined by their rarest words (prefix filter), which loses no pair at or above t.
 """
 
@@ -144,12 +145,28 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, p: Params) -> np.ndarray:
     return key
 
 
+def _without_hot(key: np.ndarray, gid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, gid) with at most `most` entries a key, and the set hashes of those beyond. A key that so many sets of one flush
+    share is hot wherever it is met: what stays is enough to tell so there, and a key that a third of all sets share sends a
+    bounded number of entries from each flush to its bucket."""
+    order = np.argsort(key)
+    ordered = key[order]
+    if len(key) <= most or not (ordered[most:] == ordered[:-most]).any():
+        return key, gid, gid[:0]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    rank = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    keep = np.sort(order[rank < most])
+    return key[keep], gid[keep], np.unique(gid[order[rank >= most]])
+
+
 def _band_blobs(buckets: int, p: Params, sets_per_flush: int = 40_000):
-    """Sets to packed band entries: per bucket, a blob of 4-byte keys followed by 5-byte set hashes."""
+    """Sets to packed band entries: per bucket, a blob of 4-byte keys followed by 5-byte set hashes; marked hot, blobs of the
+    5-byte hashes of sets that are known to stand under a hot key."""
 
     def flush(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         key = np.concatenate(keys, axis=1).ravel()
         gid = np.tile(np.concatenate(ids), p.bands)
+        key, gid, hot = _without_hot(key, gid, p.hot + 1)
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -157,7 +174,11 @@ def _band_blobs(buckets: int, p: Params, sets_per_flush: int = 40_000):
         five = gid[order].view(np.uint8).reshape(-1, 8)[:, :5]
         here = [b for b in range(buckets) if cut[b] < cut[b + 1]]
         blobs = [low[cut[b] : cut[b + 1]].tobytes() + five[cut[b] : cut[b + 1]].tobytes() for b in here]
-        return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        plain = len(here)
+        for k in range(0, len(hot), 100_000):
+            here.append(int(hot[k] % np.uint64(buckets)))
+            blobs.append(hot[k : k + 100_000].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(np.arange(len(here)) >= plain), pa.array(blobs, pa.binary())], ["bucket", "hot", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
@@ -210,10 +231,19 @@ def _meetings(p: Params):
                 n = len(a[k : k + 500_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a[k : k + n]), pa.array(b[k : k + n])], ["kind", "a", "b"])
 
+    def known(blob: bytes) -> pa.RecordBatch:
+        wide = np.zeros((len(blob) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+        ids = wide.view(np.int64).ravel()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), 1, np.int32)), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids)], ["kind", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, hot, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot:
+                    yield known(blob)
+                    continue
                 if bucket != now and held:
                     yield from meet(now, held)
                     held = []
@@ -290,7 +320,7 @@ def similar_sets(sets: DataFrame, n_rows: int, p: Params) -> DataFrame:
     """(sid_a, sid_b, rep_a, rep_b, shared_a, shared_b, similarity) of distinct sets with a similarity of p.threshold or more."""
     buckets = max(16, math.ceil(n_rows * p.bands / p.bucket_entries))
     hashed = sets.select("g", _hashes("words").alias("hs"))
-    blobs = hashed.mapInArrow(_band_blobs(buckets, p), "bucket int, blob binary")
+    blobs = hashed.mapInArrow(_band_blobs(buckets, p), "bucket int, hot boolean, blob binary")
     met = blobs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(p), "kind int, a long, b long")
     pairs = met.where("kind = 0").select("a", "b").distinct()
     sketch = _Sketch(p)

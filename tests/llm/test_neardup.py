@@ -57,6 +57,20 @@ def test_hot_keys_lose_nothing(spark):
     assert got == brute(rows, p) and len(got) == 60 * 59 // 2
 
 
+def test_a_key_of_half_the_sets_does_not_fill_its_bucket(spark):
+    """Half of the sets share a template, and with it band keys: a key sends at most `hot` + 1 entries from each flush to its
+    bucket, the other sets are known to be hot without it, and no pair is lost."""
+    base = [f"t{k}" for k in range(30)]
+    rows = [(f"{k:04}", " ".join([*base, f"a{k}"])) for k in range(150)] + [(f"{k:04}", " ".join(f"w{k}x{j}" for j in range(10))) for k in range(150, 300)]
+    p = N.Params(hot=10)
+    sets = N.distinct_sets(table(spark, rows), "id", "text", p).repartition(1)
+    blobs = sets.select("g", N._hashes("words").alias("hs")).mapInArrow(N._band_blobs(16, p), "bucket int, hot boolean, blob binary").collect()
+    entries = [len(r["blob"]) // 9 for r in blobs if not r["hot"]]
+    assert sum(entries) <= 24 * (150 + 20 * (p.hot + 1)) and max(entries) < 24 * 150 and any(r["hot"] for r in blobs)
+    got = {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(table(spark, rows), "id", "text", p).collect()}
+    assert got == brute(rows, p) and len(got) == 150 * 149 // 2
+
+
 def test_groups(spark):
     rows = random_rows(200, 5)
     rows += [(f"c{k}", rows[0][1]) for k in range(3)]
