@@ -71,9 +71,10 @@ def term_counts(pairs: DataFrame) -> DataFrame:
     Range-partitioned external sort of the pairs, then a scan of the runs. The ranges are over (term, rec), so a term
     that holds a third of all rows is spread over many ranges while all its rows of one record stay together; the
     runs of one term in several ranges are added up in the end, at most one row per term and range.
-    A rec that is a number is kept; any other is replaced by its 64-bit hash, which only tells records of a term apart.
+    A rec that is a number without leading zeros is kept; any other is replaced by its 64-bit hash, which only tells records of a term apart.
     """
-    slim = pairs.select("term", F.coalesce(F.expr("try_cast(rec as bigint)"), F.xxhash64("rec")).alias("rec"))
+    number = F.when(F.col("rec").cast("string").rlike("^[1-9][0-9]{0,17}$"), F.expr("try_cast(rec as bigint)"))
+    slim = pairs.select("term", F.coalesce(number, F.xxhash64("rec")).alias("rec"))
     runs = slim.repartitionByRange("term", "rec").sortWithinPartitions("term", "rec")
     runs = runs.mapInArrow(_scan_runs, "term string, n long, docs long")
     return runs.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("docs").alias("records"))
