@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.sources.raw_records import parse_records
+from burstline.sources.raw_records import blocks, parse_records, parse_streams
 from burstline.sources.tables import table
 
 
@@ -28,5 +28,11 @@ def p6_tweets(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).where(F.col("reason").isNull()).select("raw_id", "id_str", "user_id_str", "created_at", "ts", "lang", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_faults, p6_tweets)}
+def p6_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries put together again and read as streams: after each error reading resumes at the next record start."""
+    whole = blocks(table(spark, d, "raw_lines"), "file_name", "line_no", "fmt", "content")
+    return parse_streams(whole, "block", "fmt", "content").select("block", "start_at", "end_at", "id_str", "ts", "text", "reason", "detail")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_faults, p6_tweets, p6_streams)}
 SQL: dict[str, str] = {}

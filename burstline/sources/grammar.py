@@ -1,6 +1,6 @@
 """Recursive-descent grammars of delivered records, with recovery after errors.
 
-Three formats: strict JSON (one object a record), CSV (RFC 4180 quoting) and TSV (no quoting). Each grammar reads one
+Three formats: strict JSON (one object a record, nested to any depth), CSV (RFC 4180 quoting) and TSV (no quoting). Each grammar reads one
 record from a position and returns it with the position after it, or raises Fault with the place of the error.
 `read_stream` reads a text of many records: after an error it resumes at the next validated record start, so that a
 quote that is never closed costs one record and not the rest of the text.
@@ -13,8 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-MAX_DEPTH = 200
-
 
 class Fault(Exception):
     """What is wrong, and at which character."""
@@ -62,16 +60,51 @@ class Json:
         at = self.skip(at)
         if not self.text.startswith("{", at):
             raise Fault(at, "a record is an object")
-        return self.object(at, 0)
+        return self.value(at)
+
+    def value(self, at: int) -> tuple[Any, int]:
+        """A value of any depth: open objects and arrays stand on a list, not on the call stack."""
+        open_: list[tuple[Any, str | None]] = []  # with the key that the next value of an object belongs to
+        while True:
+            head = self.text[at : at + 1]
+            if head == "{" or head == "[":
+                at = self.skip(at + 1)
+                if not self.text.startswith("}" if head == "{" else "]", at):
+                    if head == "{":
+                        key, at = self.key(at)
+                        open_.append(({}, key))
+                    else:
+                        open_.append(([], None))
+                    continue
+                value, at = {} if head == "{" else [], at + 1
+            else:
+                value, at = self.scalar(at)
+            while open_:
+                box, key = open_[-1]
+                if key is None:
+                    box.append(value)
+                else:
+                    box[key] = value
+                at = self.skip(at)
+                if not self.text.startswith("]" if key is None else "}", at):
+                    at = self.skip(self.expect(at, ","))
+                    if key is not None:
+                        key, at = self.key(at)
+                        open_[-1] = (box, key)
+                    break
+                value, at = box, at + 1
+                open_.pop()
+            else:
+                return value, at
 
-    def value(self, at: int, depth: int) -> tuple[Any, int]:
+    def key(self, at: int) -> tuple[str, int]:
+        if not self.text.startswith('"', at):
+            raise Fault(at, "expected a key")
+        key, at = self.string(at)
+        return key, self.skip(self.expect(self.skip(at), ":"))
+
+    def scalar(self, at: int) -> tuple[Any, int]:
         head = self.text[at : at + 1]
-        if depth > MAX_DEPTH:
-            raise Fault(at, "nested too deep")
-        if head == "{":
-            return self.object(at, depth)
-        if head == "[":
-            return self.array(at, depth)
         if head == '"':
             return self.string(at)
         if head in _WORDS:
@@ -91,35 +124,6 @@ class Json:
         body = found[1]
         return (_ESCAPE.sub(_unescape, body) if "\\" in body else body), found.end()
 
-    def object(self, at: int, depth: int) -> tuple[dict, int]:
-        out: dict = {}
-        at = self.skip(at + 1)
-        if self.text.startswith("}", at):
-            return out, at + 1
-        while True:
-            if not self.text.startswith('"', at):
-                raise Fault(at, "expected a key")
-            key, at = self.string(at)
-            at = self.skip(self.expect(self.skip(at), ":"))
-            out[key], at = self.value(at, depth + 1)
-            at = self.skip(at)
-            if self.text.startswith("}", at):
-                return out, at + 1
-            at = self.skip(self.expect(at, ","))
-
-    def array(self, at: int, depth: int) -> tuple[list, int]:
-        out: list = []
-        at = self.skip(at + 1)
-        if self.text.startswith("]", at):
-            return out, at + 1
-        while True:
-            item, at = self.value(at, depth + 1)
-            out.append(item)
-            at = self.skip(at)
-            if self.text.startswith("]", at):
-                return out, at + 1
-            at = self.skip(self.expect(at, ","))
-
 
 # --- CSV and TSV ----------------------------------------------------------------------------------------------------
 

@@ -163,8 +163,20 @@ def parse_streams(df: DataFrame, key: str, fmt: str, content: str) -> DataFrame:
     return slim.mapInArrow(run, f"`{key}` {kind}, start_at long, end_at long, {PARSED}")
 
 
+def blocks(df: DataFrame, file: str, line: str, fmt: str, content: str, size: int = 1000) -> DataFrame:
+    """(block, fmt, content): deliveries put together again from their records, `size` line numbers a block, so that a file
+    that holds a third of all records is many blocks. block is `file:number`; records without a file or line take no part."""
+    given = df.where(F.col(file).isNotNull() & F.col(line).isNotNull()).select(F.concat_ws(":", F.col(file), F.floor(F.col(line) / size).cast("string")).alias("block"), F.col(line).alias("line"), F.col(fmt).alias("fmt"), F.coalesce(content, F.lit("")).alias("content"))
+    one = given.groupBy("block", "fmt").agg(F.sort_array(F.collect_list(F.struct("line", "content"))).alias("rows"))
+    return one.select("block", "fmt", F.array_join(F.transform("rows", lambda r: r["content"]), "\n").alias("content"))
+
+
 def read_deliveries(spark, path: str, fmt: str) -> DataFrame:
-    """parse_streams over the files of a path, read whole: a quote may close many lines later, so a file is one unit of
-    work. Files are at most some hundred MB; larger ones must be cut at record starts before."""
-    files = spark.read.format("text").option("wholetext", "true").load(path)
-    return parse_streams(files.select(F.input_file_name().alias("file"), F.lit(fmt).alias("fmt"), "value"), "file", "fmt", "value")
+    """parse_streams over the files of a path. TSV is cut at line ends and JSON where a line begins with an object, so tasks
+    share large files; start_at counts from such a cut. In CSV a quote may close many lines later, so a file is one unit of
+    work: larger ones than some hundred MB must be cut at record starts before."""
+    separator = {"tsv": "\n", "json": "\n{"}.get(fmt)
+    reader = spark.read.format("text").option("lineSep", separator) if separator else spark.read.format("text").option("wholetext", "true")
+    value = F.when(F.ltrim("value").startswith("{"), F.col("value")).otherwise(F.concat(F.lit("{"), "value")) if fmt == "json" else F.col("value")
+    files = reader.load(path).where(F.col("value") != "")
+    return parse_streams(files.select(F.input_file_name().alias("file"), F.lit(fmt).alias("fmt"), value.alias("value")), "file", "fmt", "value")

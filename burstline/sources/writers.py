@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstline.session import ensure_checkpoint_dir
+
 
 def by_day(df: DataFrame, day: str, path: str, splits: int = 8) -> None:
     """A folder a day. A day that holds a third of the rows is written by several tasks, `splits` at most."""
@@ -30,11 +32,19 @@ def frequencies(df: DataFrame, sizes: DataFrame, path: str) -> None:
 def ids_and_texts(df: DataFrame, key: str, text: str, path: str) -> None:
     """The ids and the texts in files that go together line by line, in UTF-8; line breaks in texts become spaces."""
     flat = df.select(F.col(key).cast("string").alias("k"), F.regexp_replace(F.coalesce(text, F.lit("")), "[\r\n]+", " ").alias("t"))
+    ensure_checkpoint_dir(df.sparkSession)
     run = flat.repartitionByRange("k").sortWithinPartitions("k", "t").checkpoint()
     run.select("k").write.mode("overwrite").text(f"{path}/ids")
     run.select("t").write.mode("overwrite").text(f"{path}/texts")
 
 
+def bursty_units(bursty: DataFrame, rows: DataFrame, path: str) -> None:
+    """The bursty units and, beside them, the tweets that hold one: (tw, tid)."""
+    bursty.write.mode("overwrite").parquet(f"{path}/units")
+    involved = rows.join(bursty.select("tw", "unit"), ["tw", "unit"], "left_semi").select("tw", "tid").distinct()
+    involved.write.mode("overwrite").parquet(f"{path}/tweets")
+
+
 def ranked_events(events: DataFrame, members: DataFrame, path: str) -> None:
     """Events by window and rank with their members: one JSON object a line."""
     both = events.join(members.select("tw", "event_id", "members"), ["tw", "event_id"], "left")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from burstline.sources.grammar import Fault, Json, read_stream
-from burstline.sources.raw_records import parse_records, parse_streams, read_one
+from burstline.sources.raw_records import blocks, parse_records, parse_streams, read_deliveries, read_one
 
 TWEET = {"id_str": "300000000000000001", "text": "x", "created_at": "Sun Oct 14 08:15:02 +0000 2012", "lang": "en", "user": {"id_str": "2"}}
 TSV = ["0", "web", "u", "n", "", "en", "300000000000000001", "0", "text", "8:15 AM - 14 Oct 2012", "1", "false", "x"]
@@ -92,3 +92,32 @@ def test_table_with_nulls_and_repeats(spark):
     got = [(r["raw_id"], r["reason"]) for r in parse_records(spark.createDataFrame(rows, "raw_id long, fmt string, content string"), "raw_id", "fmt", "content").orderBy("raw_id").collect()]
     assert got == [(1, None), (1, None), (2, "syntax"), (3, "columns"), (4, "syntax")]
     assert parse_records(spark.createDataFrame([], "raw_id long, fmt string, content string"), "raw_id", "fmt", "content").count() == 0
+
+
+@pytest.mark.parametrize("depth", [300, 5000])
+def test_json_of_any_depth(depth):
+    text = tweet()[:-1] + ', "deep": ' + "[" * depth + "]" * depth + "}"
+    assert reason("json", text) is None and reason("json", text[:-2] + "}") == "syntax"
+    assert reason("json", tweet()[:-1] + ', "deep": ' + '{"a":' * depth + "1" + "}" * (depth + 1)) is None
+
+
+def test_blocks_are_read_with_recovery(spark):
+    csv_row = lambda k, t: f"3{k:017},2,Sun Oct 14 08:15:02 +0000 2012,en,{t}"
+    rows = [("f.csv", k, "csv", csv_row(k, f"text {k}")) for k in range(25)] + [("f.json", 1, "json", tweet()), ("f.json", 2, "json", tweet()[:-3]), ("f.json", 3, "json", tweet()), ("g", None, "csv", "x")]
+    rows[7] = ("f.csv", 7, "csv", csv_row(7, '"never closed'))
+    df = spark.createDataFrame(rows, "file string, line long, fmt string, content string")
+    whole = blocks(df, "file", "line", "fmt", "content", size=10)
+    assert {r["block"] for r in whole.collect()} == {"f.csv:0", "f.csv:1", "f.csv:2", "f.json:0"}
+    got = parse_streams(whole, "block", "fmt", "content").collect()
+    bad = [(r["block"], r["reason"]) for r in got if r["reason"]]
+    assert sorted(bad) == [("f.csv:0", "syntax"), ("f.json:0", "syntax")] and len(got) == 28
+    assert parse_streams(blocks(df.limit(0), "file", "line", "fmt", "content"), "block", "fmt", "content").count() == 0
+
+
+@pytest.mark.parametrize("fmt", ["json", "tsv", "csv"])
+def test_files_of_deliveries(spark, tmp_path, fmt):
+    line = {"json": tweet(), "tsv": "\t".join(TSV), "csv": '300000000000000001,2,Sun Oct 14 08:15:02 +0000 2012,en,"a\nb"'}[fmt]
+    broken = {"json": tweet()[:-2], "tsv": "\t".join(TSV[:11]), "csv": '300000000000000001,2,Sun Oct 14 08:15:02 +0000 2012,en,"a'}[fmt]
+    (tmp_path / "f").write_text("\n".join([line, broken, line, line]) + "\n")
+    got = read_deliveries(spark, str(tmp_path / "f"), fmt).collect()
+    assert sum(r["reason"] is None for r in got) == 3 and len(got) == 4
