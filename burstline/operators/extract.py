@@ -10,9 +10,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burstline.functions.text import lexical_class
+
 TRIPLES = pa.list_(pa.struct([("arg1", pa.string()), ("verb", pa.string()), ("arg2", pa.string())]))
 TRIPLES_SQL = "array<struct<arg1:string,verb:string,arg2:string>>"
 Span = tuple[int, int]
@@ -278,3 +280,96 @@ def lexical_units(phrases: DataFrame, lexicon: DataFrame) -> DataFrame:
     short = met.groupBy("phrase", "pos").agg(F.min(F.struct(F.length("lu_name").alias("len"), "lu_name", "lu_id", "frame_id")).alias("m"))
     one = best.select("phrase", "pos", "m.lu_name", "m.frame_id")
     return one.unionByName(short.select("phrase", "pos", "m.lu_name", "m.frame_id"))
+
+
+def interval_relation(a: Column, b: Column) -> Column:
+    """How span a (struct st, ed, both inclusive) lies to span b: left, left adjacent, right, right adjacent as seen from a to
+    b (left: b ends before a), cover (b covers a), inside (b lies in a), left or right overlap. Null if a span is null."""
+    s1, e1, s2, e2 = a["st"], a["ed"], b["st"], b["ed"]
+    return (
+        F.when(e2 + 1 < s1, "left").when(e2 + 1 == s1, "left adjacent").when(s2 > e1 + 1, "right").when(s2 == e1 + 1, "right adjacent")
+        .when((s2 <= s1) & (e1 <= e2), "cover").when((s1 <= s2) & (e2 <= e1), "inside").when(s2 < s1, "left overlap").when(s1 < s2, "right overlap")
+    )
+
+
+# The weight of each feature of an extraction, by name.
+CONFIDENCE = {
+    "covers_text": 1.16, "ends_for": 0.5, "ends_on": 0.49, "ends_of": 0.46, "short": 0.43, "wh_before": 0.43, "long_relation": 0.42, "ends_to": 0.39, "ends_in": 0.25, "middling": 0.23,
+    "arg1_first": 0.21, "arg1_name": 0.16, "arg2_name": 0.01, "name_before_arg1": -0.3, "long": -0.43, "one_word_verb": -0.61, "preposition_first": -0.65, "name_after_arg2": -0.81, "conjunction_before": -0.93,
+}
+
+
+def extraction_features(words: list[str], tags: list[str], relation: Span, arg1: Span | None, arg2: Span | None) -> dict[str, bool]:
+    """What speaks for or against a triple: the features of CONFIDENCE. Spans are inclusive places in words."""
+    st, ed = relation
+    n, last = len(words), words[ed].lower()
+    spans = [x for x in (arg1, relation, arg2) if x]
+    inner = tags[st : ed + 1]
+    name = lambda x: x is not None and tags[x[1]].startswith("NNP")
+    some = lambda part, tag: any(t.startswith(tag) for t in part)
+    return {
+        "covers_text": sum(b - a + 1 for a, b in spans) == n,
+        **{f"ends_{w}": last == w for w in ("for", "on", "of", "to", "in")},
+        "short": n <= 10, "middling": 10 < n <= 20, "long": n > 20,
+        "wh_before": some(tags[:st], "W"), "conjunction_before": some(tags[:st], "CC"),
+        "long_relation": inner[0].startswith("VB") and len(inner) > 1 and inner[-1][:2] in ("IN", "TO", "RP"),
+        "one_word_verb": st == ed,
+        "arg1_first": arg1 is None or arg1[0] == 0, "arg1_name": name(arg1), "arg2_name": name(arg2),
+        "name_before_arg1": arg1 is not None and some(tags[: arg1[0]], "NNP"),
+        "preposition_first": arg1 is not None and arg1[0] > 0 and tags[0][:2] in ("IN", "TO"),
+        "name_after_arg2": arg2 is not None and some(tags[arg2[1] + 1 :], "NNP"),
+    }
+
+
+def confidence(features: dict[str, bool]) -> float:
+    """The weighted sum of the features that hold."""
+    return round(sum(CONFIDENCE[k] for k, holds in features.items() if holds), 4)
+
+
+def lexical_patterns(tokens: DataFrame, key: str, lexicon: DataFrame, longest: int = 3) -> DataFrame:
+    """(key, at, pattern): runs of one to `longest` words of a text that name a lexical unit, as `words.frame`.
+
+    tokens is (key, tokens array<struct<word,tag>>), lexicon (lu_name, lu_pos, frame_id). A run may not begin with a
+    determiner, preposition, comma, full stop or interjection if it is one word, holds no word of a class that evokes
+    nothing, and is looked up by its words' forms and the class of its last tag. Runs are joined with the lexicon.
+    """
+    t = tokens.select(F.col(key).alias("k"), F.col("tokens").alias("ts"))
+    starts = t.where(F.size("ts") > 0).select("k", "ts", F.explode(F.sequence(F.lit(1), F.size("ts"))).alias("i"))
+    lengths = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.col("i") + n - 1 <= F.size("ts"))
+    runs = starts.select("k", "i", F.explode(F.transform(lengths, lambda n: F.slice("ts", F.col("i"), n))).alias("run"))
+    tag = lambda x: F.upper(x["tag"])
+    useless = F.exists("run", lambda x: tag(x).rlike("^(CC|IN|TO|UH|[^A-Z].*)$"))
+    alone = (F.size("run") == 1) & tag(F.col("run")[0]).isin("DT", ".", "UH", ",", "IN")
+    kept = runs.where(~useless & ~alone).withColumn("words", F.transform("run", lambda x: F.lower(x["word"]))).withColumn("pos", lexical_class(tag(F.element_at("run", -1))))
+    named = kept.select("k", "i", "words", "pos", F.array_join("words", " ").alias("lu_name"))
+    met = named.join(lexicon.select("lu_name", F.col("lu_pos").alias("pos"), "frame_id"), ["lu_name", "pos"])
+    return met.select(F.col("k").alias(key), (F.col("i") - 1).alias("at"), F.concat(F.array_join("words", "_"), F.lit("."), F.col("frame_id").cast("string")).alias("pattern"))
+
+
+def joined_context(words: Column, elements: Column) -> Column:
+    """A text as context words in which the elements of its frames (words joined by _) stand as one word each: longer
+    elements first, punctuation left out, lower case. A null element list changes nothing."""
+    plain = F.filter(F.transform(words, F.lower), lambda w: ~w.isin(",", ".", ";", "?", "!", "#", "&", "<", ">"))
+    spaced = F.concat(F.lit(" "), F.array_join(plain, "  "), F.lit(" "))
+    order = F.transform(F.array_sort(F.transform(F.filter(F.coalesce(elements, F.array()), lambda e: e != ""), lambda e: F.struct((-F.length(e)).alias("n"), F.lower(e).alias("e")))), lambda x: x["e"])
+    inside = F.aggregate(order, spaced, lambda text, e: F.replace(text, F.concat(F.lit(" "), F.replace(e, F.lit("_"), F.lit("  ")), F.lit(" ")), F.concat(F.lit(" "), e, F.lit(" "))))
+    return F.trim(F.regexp_replace(inside, " +", " "))
+
+
+def for_chunker(line: Column) -> Column:
+    """A line of word_TAG words as the chunker wants it: word/TAG, USR as NN, retweet marks and links dropped; what is empty,
+    or a mention alone, is ---/P."""
+    slashed = F.replace(F.replace(F.trim(F.regexp_replace(line, "\\s+", " ")), F.lit("_"), F.lit("/")), F.lit("/USR"), F.lit("/NN"))
+    kept = F.filter(F.split(slashed, " "), lambda w: (w != "") & ~F.regexp_extract(w, "([^/]*)$", 1).isin("RT", "URL"))
+    alone = (F.size(kept) == 0) | ((F.size(kept) == 1) & F.element_at(kept, 1).startswith("@"))
+    return F.when(alone, "---/P").otherwise(F.array_join(kept, " "))
+
+
+def plain_name(phrase: Column) -> Column:
+    """A phrase without brackets and signs that mean something in a pattern."""
+    return F.regexp_replace(phrase, "[()\\[\\]{}*?+^.$#!\\-\\\\/]", "")
+
+
+def phrase_statistics(phrases: DataFrame) -> DataFrame:
+    """(n_words, pattern, n): phrases (tokens array<struct<word,tag>>) by length and by the tags that they are made of."""
+    return phrases.where(F.size("tokens") > 0).groupBy(F.size("tokens").alias("n_words"), F.array_join("tokens.tag", " ").alias("pattern")).agg(F.count("*").alias("n"))

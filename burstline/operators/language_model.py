@@ -27,6 +27,31 @@ def bigram_scores(texts: DataFrame, key: str, words: str, bigrams: DataFrame) ->
     return scored.withColumnRenamed("k", key)
 
 
+def ngram_probability(gram: list[str], logs: dict[str, float], unknown: float = -1000.0) -> float:
+    """The log probability of a run of words under a table of up to three words: looked up, or else the best of all cuts in
+    two, each part again; a part of one to three words that the table does not have is `unknown`.
+
+    Worked out from short runs to long ones, so n words take n^3 steps at most and not as many as there are cuttings.
+    """
+    n = len(gram)
+    best: dict[tuple[int, int], float] = {}
+    for size in range(1, n + 1):
+        for a in range(n - size + 1):
+            whole = logs.get(" ".join(gram[a : a + size])) if size <= 3 else None
+            if whole is None:
+                whole = unknown if size <= 3 else max(best[a, k] + best[k, a + size] for k in range(a + 1, a + size))
+            best[a, a + size] = whole
+    return best[0, n] if n else 0.0
+
+
+def score_statistics(scores: DataFrame, share: float = 0.3, longest: int = 30) -> DataFrame:
+    """(n, texts, kept, ratio): texts of each length up to `longest` words and those whose score passes; texts that are unknown
+    throughout are left out before."""
+    known = scores.where((F.col("n") <= longest) & (F.abs("score") != -UNKNOWN * (F.col("n") + 1)))
+    sums = known.groupBy("n").agg(F.count("*").alias("texts"), F.count_if(F.col("score") > UNKNOWN * (F.col("n") + 1) * share).alias("kept"))
+    return sums.withColumn("ratio", F.round(F.col("kept") / F.col("texts"), 6))
+
+
 def likely_texts(scores: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
     """Texts of `least` words or more with a score above -100 (n + 1) share that are not unknown throughout."""
     return scores.where((F.col("n") >= least) & (F.col("score") > UNKNOWN * (F.col("n") + 1) * share) & (F.col("score") > UNKNOWN * F.col("n")))

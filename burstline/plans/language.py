@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burstline.functions import text as T
@@ -67,6 +68,32 @@ def likely_texts(spark, d):
     return L.likely_texts(language_model_scores(spark, d), share=0.9)
 
 
+def score_statistics(spark, d):
+    return L.score_statistics(language_model_scores(spark, d), share=0.9)
+
+
+def noun_phrase_statistics(spark, d):
+    """Runs of nouns of English tweets by length and tags: a run is what is left between other words."""
+    t = _tagged(spark, d).select("id_str", F.posexplode("tokens").alias("i", "t")).where("t.tag like 'NN%'")
+    island = F.col("i") - F.row_number().over(Window.partitionBy("id_str").orderBy("i"))
+    runs = t.withColumn("g", island).groupBy("id_str", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("tokens"))
+    return X.phrase_statistics(runs)
+
+
+def lexical_patterns(spark, d):
+    """Lexical units in English tweets, from a lexicon of the frames' verbs; a verb's stem names its frame."""
+    verbs = table(spark, d, "frames").where("frames is not null").select(F.explode("frames.verb").alias("lu_name")).where("lu_name <> ''").distinct()
+    return X.lexical_patterns(_tagged(spark, d), "id_str", verbs.select("lu_name", F.lit("v").alias("lu_pos"), T.stem(F.col("lu_name")).alias("frame_id")))
+
+
+def frame_contexts(spark, d):
+    """Texts in which the elements of their frames stand as one word each."""
+    f = table(spark, d, "frames").where("frames is not null").select("id_str", F.flatten(F.transform("frames", lambda x: F.array(x["arg1"], x["verb"], x["arg2"]))).alias("e"))
+    elements = f.groupBy("id_str").agg(F.array_distinct(F.flatten(F.collect_list(F.filter("e", lambda x: x.isNotNull())))).alias("e"))
+    t = tweets(spark, d).where("text is not null").select("id_str", T.words(F.col("text")).alias("ws"))
+    return t.join(elements, "id_str").select("id_str", X.joined_context(F.col("ws"), F.col("e")).alias("context"))
+
+
 def segmented_headlines(spark, d):
     """Headlines cut into phrases by stickiness; the grams' natural logs stand for anchors."""
     grams = gram_table(spark, d).select("gram", (F.col("logp") / F.log(F.lit(10.0))).alias("logp"), F.col("logp").alias("anchor"))
@@ -82,7 +109,7 @@ def merged_spans(spark, d):
     return merge_spans(spans, ["user_id", "day"], "st", "ed")
 
 
-QUERIES = {f.__name__: f for f in (frame_triples, tag_inventory, verb_pairs, lexical_unit_lookup, language_model_scores, likely_texts, segmented_headlines, merged_spans)}
+QUERIES = {f.__name__: f for f in (frame_triples, tag_inventory, verb_pairs, lexical_unit_lookup, language_model_scores, score_statistics, noun_phrase_statistics, lexical_patterns, frame_contexts, likely_texts, segmented_headlines, merged_spans)}
 BIG = f"""h AS (SELECT list_concat(list_concat(['<s>'], {PIECES.replace('text', 'headline')}), ['</s>']) AS ws FROM news WHERE headline IS NOT NULL),
 b AS (SELECT ws[i] || ' ' || ws[i + 1] AS gram FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM h)),
 bi AS (SELECT gram, log10(count(*) / (SELECT count(*) FROM b)) AS logp FROM b GROUP BY gram)"""
@@ -93,6 +120,8 @@ SQL = {
     "lexical_unit_lookup": f"WITH {GRAMS}, lex AS (SELECT gram AS lu_name, regexp_replace(string_split(gram, ' ')[1], '(ing|ed|s)$', '') AS frame_id FROM grams WHERE len(string_split(gram, ' ')) <= 2), v AS (SELECT DISTINCT f.verb AS phrase FROM (SELECT unnest(frames) AS f FROM frames WHERE frames IS NOT NULL) WHERE f.verb <> ''), m AS (SELECT phrase, lu_name, frame_id, row_number() OVER (PARTITION BY phrase ORDER BY phrase = lu_name DESC, length(lu_name), lu_name) AS r FROM v JOIN lex ON contains(' ' || lu_name || ' ', ' ' || phrase || ' ')) SELECT phrase, 'v' AS pos, lu_name, frame_id FROM m WHERE r = 1",
     "language_model_scores": f"WITH {TWEETS}, {BIG}, {SCORES} SELECT id_str, n, score FROM sc",
     "likely_texts": f"WITH {TWEETS}, {BIG}, {SCORES} SELECT id_str, n, score FROM sc WHERE n >= 3 AND score > -100.0 * (n + 1) * 0.9 AND score > -100.0 * n",
+    "score_statistics": f"WITH {TWEETS}, {BIG}, {SCORES}, k AS (SELECT n, count(*) AS texts, count_if(score > -100.0 * (n + 1) * 0.9) AS kept FROM sc WHERE n <= 30 AND abs(score) <> 100 * (n + 1) GROUP BY n) SELECT *, round(kept / texts, 6) AS ratio FROM k",
+    "frame_contexts": f"WITH {TWEETS}, e AS (SELECT DISTINCT id_str FROM frames WHERE frames IS NOT NULL) SELECT id_str, trim(array_to_string(list_filter({PIECES}, lambda w: NOT list_contains([',', '.', ';', '?', '!', '#', '&', '<', '>'], w)), ' ')) AS context FROM t SEMI JOIN e USING (id_str) WHERE text IS NOT NULL",
     "merged_spans": """WITH s AS (SELECT user_id, ts::DATE AS day, hour(ts) * 60 + minute(ts) AS st, hour(ts) * 60 + minute(ts) + floor(value)::BIGINT AS ed FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
 f AS (SELECT *, CASE WHEN st > max(ed) OVER o OR max(ed) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM s WINDOW o AS (PARTITION BY user_id, day ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, day ORDER BY st, ed ROWS UNBOUNDED PRECEDING) AS island FROM f)

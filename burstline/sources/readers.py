@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstline.functions import text as T
+from burstline.operators.order import with_positions
 
 TWEET = """id_str string, text string, created_at string, lang string, retweet_count bigint, retweeted boolean, favorited boolean,
 in_reply_to_status_id_str string, user struct<id_str:string,screen_name:string>,
@@ -118,10 +119,39 @@ def vectors(spark: SparkSession, path: str, only: DataFrame | None = None) -> Da
 
 
 def relation_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(id, relations) of extractor rows `id TAB arg1 TAB rel TAB arg2 ...`: the relations of one id in the order of the rows."""
+    """(id, relations, confidence) of extractor rows `id TAB arg1 TAB rel TAB arg2 ...`: the relations of one id in the order
+    of the rows, with the confidence in the 12th column, null where there is none."""
     t = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", "\t").alias("f")).where(F.size("f") >= 4)
-    t = t.select("at", F.get("f", F.lit(0)).alias("id"), F.concat_ws("|", F.get("f", F.lit(1)), F.get("f", F.lit(2)), F.get("f", F.lit(3))).alias("r"))
-    return t.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("relations"))
+    t = t.select("at", F.get("f", F.lit(0)).alias("id"), F.concat_ws("|", F.get("f", F.lit(1)), F.get("f", F.lit(2)), F.get("f", F.lit(3))).alias("r"), F.get("f", F.lit(11)).try_cast("double").alias("c"))
+    rows = F.sort_array(F.collect_list(F.struct("at", "r", "c")))
+    return t.groupBy("id").agg(F.transform(rows, lambda x: x["r"]).alias("relations"), F.transform(rows, lambda x: x["c"]).alias("confidence"))
+
+
+def frequency_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((tw, n_t), (unit, tw, df)) of a text table with a header `tw n#tw n ...` and lines `unit TAB df#df ...` in the order of
+    the header, 0 or nothing where a window does not have the unit."""
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"), "value")
+    head = lines.where(F.size("f") == 1).select(F.posexplode(F.split("value", "#")).alias("p", "w")).select("p", F.split("w", " ").alias("w"))
+    windows = head.select("p", F.get("w", F.lit(0)).alias("tw"), F.get("w", F.lit(1)).try_cast("long").alias("n_t")).where("n_t is not null")
+    each = lines.where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("unit"), F.posexplode(F.split(F.get("f", F.lit(1)), "#")).alias("p", "df"))
+    counts = each.select("unit", "p", F.col("df").try_cast("long").alias("df")).where("df > 0").join(F.broadcast(windows.select("p", "tw")), "p")
+    return windows.select("tw", "n_t"), counts.select("unit", "tw", "df")
+
+
+def id_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """(line_no, id) of a list of ids, one a line, numbered from 0 in the order of the file; null if there is no such file."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return None
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("id"))
+    return with_positions(lines, ["file", "at"], "n").select((F.col("n") - 1).alias("line_no"), "id")
+
+
+def parses_of(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(id, idx, word, tag, parent, rel): parses joined with the ids (line_no, id) of their texts by their number in the file."""
+    tokens = parses(spark, path)
+    numbers = with_positions(tokens.select("record").distinct(), ["record"], "n").select("record", (F.col("n") - 1).alias("line_no"))
+    return tokens.join(numbers, "record").join(ids, "line_no").select("id", "idx", "word", "tag", "parent", "rel")
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:

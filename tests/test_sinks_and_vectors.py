@@ -5,6 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from burstline.functions import text as T
+from burstline.operators import extract as X
+from burstline.operators import language_model as L
 from burstline.operators import lsh
 from burstline.sources import readers, writers
 from burstline.streaming import flows
@@ -39,8 +41,8 @@ def test_line_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.pair_list(spark, str(tmp_path / "slang")).collect()] == [("brb", "be right back")]
     (tmp_path / "labels").write_text("e1###T###1.5###x\nplain\n")
     assert [(r["tag"], r["ratio"]) for r in readers.label_lines(spark, str(tmp_path / "labels")).collect()] == [("T", 1.5)]
-    (tmp_path / "rel").write_text("1\ta\tb\tc\n1\td\te\tf\n2\tg\th\ti\nshort\n")
-    assert {r["id"]: r["relations"] for r in readers.relation_rows(spark, str(tmp_path / "rel")).collect()} == {"1": ["a|b|c", "d|e|f"], "2": ["g|h|i"]}
+    (tmp_path / "rel").write_text("1\ta\tb\tc\n1\td\te\tf\n2\tg\th\ti\t\t\t\t\t\t\t\t0.7\nshort\n")
+    assert {r["id"]: (r["relations"], r["confidence"]) for r in readers.relation_rows(spark, str(tmp_path / "rel")).collect()} == {"1": (["a|b|c", "d|e|f"], [None, None]), "2": (["g|h|i"], [0.7])}
     (tmp_path / "list").write_text("The\nthe\n\n a \n")
     assert sorted(r["word"] for r in readers.word_list(spark, str(tmp_path / "list")).collect()) == ["a", "the"]
 
@@ -80,3 +82,45 @@ def test_streams_over_arriving_files(spark, tmp_path):
     once = flows.first_deliveries(flows.read_folder(spark, str(tmp_path / "in"), like), "id", "ts", "12 hours")
     flows.by_day(once.withColumn("day", F.to_date("ts")), "day", str(tmp_path / "days"), str(tmp_path / "cp2"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_tables_and_numbers_of_lines(spark, tmp_path):
+    (tmp_path / "df").write_text("09 100#10 50\ncat\t3#0\ndog\t1#2\n")
+    windows, df = readers.frequency_table(spark, str(tmp_path / "df"))
+    assert {tuple(r) for r in windows.collect()} == {("09", 100), ("10", 50)}
+    assert {tuple(r) for r in df.collect()} == {("cat", "09", 3), ("dog", "09", 1), ("dog", "10", 2)}
+    (tmp_path / "ids").write_text("x\ny\nz\n")
+    ids = readers.id_map(spark, str(tmp_path / "ids"))
+    assert sorted(tuple(r) for r in ids.collect()) == [(0, "x"), (1, "y"), (2, "z")] and readers.id_map(spark, str(tmp_path / "none")) is None
+    (tmp_path / "dep").write_text("dogs\tNNS\t1\tSUB\nbark\tVBP\t-1\tROOT\n\ncats\tNNS\t-1\tROOT\n\n")
+    assert sorted((r["id"], r["word"]) for r in readers.parses_of(spark, str(tmp_path / "dep"), ids).collect()) == [("x", "bark"), ("x", "dogs"), ("y", "cats")]
+    rows = spark.createDataFrame([(D1, "1", "a"), (D1, "2", "b"), (D2, "3", "a")], "tw date, tid string, unit string")
+    writers.bursty_units(spark.createDataFrame([(D1, "a", 0)], "tw date, unit string, seg_id long"), rows, str(tmp_path / "bursty"))
+    assert [r["tid"] for r in spark.read.parquet(str(tmp_path / "bursty/tweets")).collect()] == ["1"]
+
+
+def test_extraction_rules(spark):
+    span = "struct<st:int,ed:int>"
+    pairs = [((5, 6), (1, 2), "left"), ((5, 6), (1, 4), "left adjacent"), ((1, 2), (5, 6), "right"), ((1, 2), (3, 4), "right adjacent"), ((2, 3), (1, 4), "cover"), ((1, 4), (2, 3), "inside"), ((3, 6), (1, 4), "left overlap"), ((1, 4), (3, 6), "right overlap")]
+    df = spark.createDataFrame(pairs, f"a {span}, b {span}, want string")
+    assert all(r[0] == r[1] for r in df.select(X.interval_relation(F.col("a"), F.col("b")), "want").collect())
+    words, tags = "Obama flew to Paris".split(), ["NNP", "VBD", "TO", "NNP"]
+    f = X.extraction_features(words, tags, (1, 2), (0, 0), (3, 3))
+    assert set(f) == set(X.CONFIDENCE) and f["covers_text"] and f["ends_to"] and f["short"] and f["long_relation"] and f["arg1_name"] and not f["name_after_arg2"]
+    assert X.confidence(f) == round(1.16 + 0.39 + 0.43 + 0.42 + 0.21 + 0.16 + 0.01, 4)
+    kind = "array<struct<word:string,tag:string>>"
+    t = spark.createDataFrame([("1", [("The", "DT"), ("dog", "NN"), ("took", "VBD"), ("off", "RP")]), ("2", []), ("3", None)], f"id string, tokens {kind}")
+    lex = spark.createDataFrame([("took off", "n", 1), ("took", "v", 7), ("dog", "n", 3), ("the", "n", 4)], "lu_name string, lu_pos string, frame_id int")
+    assert {(r["id"], r["at"], r["pattern"]) for r in X.lexical_patterns(t, "id", lex).collect()} == {("1", 1, "dog.3"), ("1", 2, "took.7")}
+    c = spark.createDataFrame([("New York is , big big".split(), ["new_york", "york"]), (["a"], None)], "w array<string>, e array<string>")
+    assert [r[0] for r in c.select(X.joined_context(F.col("w"), F.col("e"))).collect()] == ["new_york is big big", "a"]
+    lines = spark.createDataFrame([("hi_UH @you_USR RT_RT http_URL",), ("@you_USR",), ("",), ("a_DT  dog_NN",)], "l string")
+    assert [r[0] for r in lines.select(X.for_chunker(F.col("l"))).collect()] == ["hi/UH @you/NN", "---/P", "---/P", "a/DT dog/NN"]
+    assert spark.createDataFrame([("(a) [b]-c/d!",)], "p string").select(X.plain_name(F.col("p"))).first()[0] == "a bcd"
+
+
+def test_probability_of_runs():
+    logs = {"a": -1.0, "b": -2.0, "a b": -1.5, "b c d": -3.0, "c": -4.0}
+    assert L.ngram_probability(["a"], logs) == -1.0 and L.ngram_probability(["a", "b"], logs) == -1.5 and L.ngram_probability([], logs) == 0.0
+    assert L.ngram_probability(["a", "b", "c", "d"], logs) == -4.0 and L.ngram_probability(["x"], logs) == -1000.0
+    assert L.ngram_probability(["a"] * 60, logs) > -1000 * 60
