@@ -46,9 +46,9 @@ def _with_users(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Six decimals, after nine: a sum that comes out a little different in another order does not fall to the other side of
-    a half."""
-    return df.withColumns({c: F.round(F.round(c, 9), 6) for c in columns})
+    """Six decimals, after nine and with halves lifted: neither another order of additions nor another way to round a half
+    changes a figure."""
+    return df.withColumns({c: F.round(F.round(c, 9) + 1e-10, 6) for c in columns})
 
 
 def unit_probability(spark, d):
@@ -488,7 +488,7 @@ SQL = {
 
 
 def rounded_twice(sql: str) -> str:
-    """round(x, 6) as round(round(x, 9), 6), as the queries do it."""
+    """round(x, 6) as _rounded does it."""
     at = 0
     while (at := sql.find("round(", at)) >= 0:
         depth, end = 1, at + 6
@@ -497,7 +497,7 @@ def rounded_twice(sql: str) -> str:
             end += 1
         inner = sql[at + 6 : end - 4]
         if sql[end - 4 : end] == ", 6)" and not inner.startswith("round("):
-            sql = f"{sql[:at]}round(round({inner}, 9), 6){sql[end:]}"
+            sql = f"{sql[:at]}round(round({inner}, 9) + 1e-10, 6){sql[end:]}"
         at += 6
     return sql
 
