@@ -2,14 +2,18 @@
 
 Method: HyperMinHash. For each of k hash functions a record keeps the register of its least hash value: the number of
 leading zeros and some mantissa bits after them. Bands of registers are the keys under which records meet. Of records
-that meet, the similarity is estimated from equal registers, corrected for registers that agree by chance, and pairs
-that come near t are verified on their words.
+that meet and are long, the similarity is estimated from equal registers, corrected for registers that agree by chance,
+and pairs that come near t are verified on their words.
 
 Layout: equal word sets are collapsed first (in the task, before the shuffle), so copies cost nothing further. Sets are
-partitioned once by the first 40 bits of their hash and that partitioning serves both joins and the verification. Band
-entries travel as packed blobs of 9 bytes an entry, not as rows; of a key that is hot within a task only so many entries
-travel as tell its bucket that it is hot, so a key that a third of all sets share does not fill one task. A key under which more than `hot` sets meet emits no
-pairs there; its sets are joined by their rarest words (prefix filter), which loses no pair at or above t.
+partitioned once by their id g and that partitioning serves both joins and the verification. An id of 48 bits holds 32
+parities of the set's words, its size and some of its hash. Two sets differ in at least as many words as parities, so the
+ids alone rule out most pairs that meet by chance, where they meet and without loss. Those grow with the square of the
+table, while what leaves the meetings grows in step with it. Band entries travel as packed blobs of 9 bytes an entry, not
+as rows; of a key that is hot within a task only so many entries travel as tell its bucket that it is hot, so a key that a
+third of all sets share does not fill one task. A key under which more than `hot` sets of one task's blob or more than
+`crowd` sets at all meet emits no pairs there; its sets are joined by their rarest words (prefix filter), which loses no
+pair at or above t.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from burstline.operators.graph import connected_components
+from burstline.session import stored
 
 from .lookalike import skeleton
 
@@ -42,6 +47,7 @@ class Params:
     sketch_mantissa: int = 5
     slack: float = 0.33
     hot: int = 100
+    crowd: int = 10_000
     bucket_entries: int = 2_000_000
     seed: int = 7
 
@@ -97,7 +103,7 @@ def distinct_sets(df: DataFrame, key: str, text: str, p: Params) -> DataFrame:
     Least and greatest are taken of whole structs, so that every use of the result needs the same columns below the
     exchange, which is then made once and reused.
     """
-    rows = _keyed_words(df, key, text, p, True).withColumn("g", F.shiftrightunsigned("sid", 24))
+    rows = _keyed_words(df, key, text, p, True).withColumn("g", _set_id("sid", _hashes("words")))
     whole = F.struct("words", "key")
     ends = rows.repartition("g").groupBy("g", "sid").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
     return ends.select("g", "sid", F.col("lo.words").alias("words"), F.col("lo.key").alias("rep"), (F.col("lo.key") != F.col("hi.key")).alias("shared"))
@@ -107,6 +113,28 @@ def _hashes(words: str) -> Column:
     return F.transform(F.split(words, " "), lambda w: F.xxhash64(w))
 
 
+def _set_id(sid: str, hashes: Column) -> Column:
+    """32 parities of the words, 6 bits of size (63 stands for more, too), 10 bits of the hash. Different sets may share one.
+    Never null, since a filter on that would part the exchange of one use from that of another."""
+    one = F.lit(1).cast("long")
+    odd = F.aggregate(hashes, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(31).cast("int"))))
+    whole = F.shiftleft(odd, 16).bitwiseOR(F.shiftleft(F.least(F.size(hashes), F.lit(63)).cast("long"), 10)).bitwiseOR(F.col(sid).bitwiseAND(1023))
+    return F.coalesce(whole, F.lit(0).cast("long"))
+
+
+def _most_apart(n, m, threshold: float):
+    """The most words in which sets of n and m words with a similarity of `threshold` or more differ, to be rounded down."""
+    return (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def _apart_table(threshold: float) -> np.ndarray:
+    """Of two sizes as ids have them, the most parities in which sets with a similarity of `threshold` or more differ; -1 if
+    none are as similar. Where a size is not known all 32 may."""
+    n, m = np.arange(64)[:, None], np.arange(64)[None, :]
+    most = np.where((n == 63) | (m == 63), 32, np.minimum(np.floor(_most_apart(n, m, threshold)), 32))
+    return np.where(np.minimum(n, m) < threshold * np.maximum(n, m) - 1e-9, -1, most).astype(np.int8)
+
+
 def _minima(flat: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k x sets array of least hash values."""
     rng = np.random.default_rng(seed)
@@ -160,24 +188,25 @@ def _without_hot(key: np.ndarray, gid: np.ndarray, most: int) -> tuple[np.ndarra
 
 
 def _band_blobs(buckets: int, p: Params, sets_per_flush: int = 40_000):
-    """Sets to packed band entries: per bucket, a blob of 4-byte keys followed by 5-byte set hashes; marked hot, blobs of the
-    5-byte hashes of sets that are known to stand under a hot key."""
+    """Sets to packed band entries: per bucket, a blob of 3-byte keys in ascending order, highest bytes first, followed by
+    6-byte set ids; marked hot, blobs of the 6-byte ids of sets that are known to stand under a hot key."""
 
     def flush(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         key = np.concatenate(keys, axis=1).ravel()
         gid = np.tile(np.concatenate(ids), p.bands)
         key, gid, hot = _without_hot(key, gid, p.hot + 1)
-        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        low = key[order].astype(np.uint32)
-        five = gid[order].view(np.uint8).reshape(-1, 8)[:, :5]
+        place = (key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(24) | key & np.uint64(0xFFFFFF)
+        order = np.argsort(place)
+        place = place[order]
+        cut = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(24))
+        three = place.view(np.uint8).reshape(-1, 8)[:, 2::-1]
+        six = gid[order].view(np.uint8).reshape(-1, 8)[:, :6]
         here = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        blobs = [low[cut[b] : cut[b + 1]].tobytes() + five[cut[b] : cut[b + 1]].tobytes() for b in here]
+        blobs = [three[cut[b] : cut[b + 1]].tobytes("F") + six[cut[b] : cut[b + 1]].tobytes() for b in here]
         plain = len(here)
         for k in range(0, len(hot), 100_000):
             here.append(int(hot[k] % np.uint64(buckets)))
-            blobs.append(hot[k : k + 100_000].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            blobs.append(hot[k : k + 100_000].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(np.arange(len(here)) >= plain), pa.array(blobs, pa.binary())], ["bucket", "hot", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,75 +227,119 @@ def _band_blobs(buckets: int, p: Params, sets_per_flush: int = 40_000):
     return run
 
 
-def _meetings(p: Params):
-    """Blobs, sorted by bucket, to pairs of set hashes (a, b); of a key with more than p.hot sets to (key, set) with kind 1."""
+def _ids(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    high, middle, low = np.frombuffer(blob, np.uint8, len(blob) // 9 * 3).reshape(3, -1).astype(np.uint32)
+    return high << 16 | middle << 8 | low
+
+
+def _size(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(10) & np.uint64(63)).astype(np.intp)
 
-    def meet(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 9) for x in blobs])
-        wide = np.zeros((len(keys), 8), np.uint8)
-        wide[:, :5] = np.concatenate([np.frombuffer(x, np.uint8, offset=len(x) // 9 * 4).reshape(-1, 5) for x in blobs])
-        ids = wide.view(np.uint64).ravel()
+
+def _hot_keys(each: list[np.ndarray], p: Params) -> np.ndarray:
+    """Keys that more than p.hot sets of one blob share, or more than p.crowd of all; a flush sends no more on than tell so."""
+    some = [k[np.flatnonzero(k[p.hot :] == k[: -p.hot])] for k in each if len(k) > p.hot]
+    keys, sizes = np.unique(np.concatenate(each), return_counts=True)
+    return np.union1d(keys[sizes > p.crowd], np.concatenate([keys[:0], *some]))
+
+
+def _pairs(members: np.ndarray, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the sets in each row, in parts of about a million."""
+    size = members.shape[1]
+    if size <= p.hot:
+        i, j = np.triu_indices(size, 1)
+        step = max(1, 1_000_000 // len(i))
+        for k in range(0, len(members), step):
+            yield members[k : k + step, i].ravel(), members[k : k + step, j].ravel()
+        return
+    step = max(1, 1_000_000 // size)
+    for row in members:
+        for k in range(0, size - 1, step):
+            first, then = row[k : k + step], row[k + 1 :]
+            i, j = np.nonzero(np.arange(len(then))[None, :] >= np.arange(len(first))[:, None])
+            yield first[i], then[j]
+
+
+#: Sets of more words than this may differ in nearly as many words as unrelated sets do in parities.
+SHORT = 32
+
+
+def _meetings(p: Params, what: str):
+    """Blobs, sorted by bucket, to pairs (a, b) of ids of sets that meet and may be near: "short", if the smaller set has at
+    most SHORT words, else "long". "hot": to (id, id) of the sets under hot keys, which make no pairs here."""
+    most = _apart_table(p.threshold)
+
+    def batches_of(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(a), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 500_000].astype(np.int64)) for x in (a, b)], ["a", "b"])
+
+    def meet(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        each = [_keys(x) for x in blobs]
+        hot = _hot_keys(each, p)
+        keys = np.concatenate(each)
+        ids = np.concatenate([_ids(x[len(x) // 9 * 3 :]) for x in blobs])
+        crowded = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+        if what == "hot":
+            found = np.unique(ids[crowded])
+            yield from batches_of(found, found)
+            return
+        taken = ~crowded if what == "short" else ~crowded & (_size(ids) > SHORT)
+        keys, ids = keys[taken], ids[taken]
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
         many = sizes > 1
         starts, sizes = starts[many], sizes[many]
-        out = []
         for size in np.unique(sizes):
-            at = starts[sizes == size]
-            members = ids[at[:, None] + np.arange(size)]
-            if size > p.hot:
-                out.append((1, np.repeat(keys[at].astype(np.uint64) << np.uint64(20) | np.uint64(bucket & 0xFFFFF), size), members.ravel()))
-                continue
-            i, j = np.triu_indices(size, 1)
-            step = max(1, 1_000_000 // len(i))
-            for k in range(0, len(at), step):
-                a, b = members[k : k + step, i].ravel(), members[k : k + step, j].ravel()
-                out.append((0, np.minimum(a, b), np.maximum(a, b)))
-        for kind, a, b in out:
-            keep = (a != b) if kind == 0 else slice(None)
-            a, b = a[keep].astype(np.int64), b[keep].astype(np.int64)
-            for k in range(0, len(a), 500_000):
-                n = len(a[k : k + 500_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a[k : k + n]), pa.array(b[k : k + n])], ["kind", "a", "b"])
-
-    def known(blob: bytes) -> pa.RecordBatch:
-        wide = np.zeros((len(blob) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-        ids = wide.view(np.int64).ravel()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), 1, np.int32)), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids)], ["kind", "a", "b"])
+            for a, b in _pairs(ids[starts[sizes == size][:, None] + np.arange(size)], p):
+                n, m = _size(a), _size(b)
+                near = np.bitwise_count((a ^ b) >> np.uint64(16)).astype(np.int8) <= most[n, m]
+                if what == "short":
+                    near &= np.minimum(n, m) <= SHORT
+                a, b = a[near], b[near]
+                yield from batches_of(np.minimum(a, b), np.maximum(a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for bucket, hot, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if hot:
-                    yield known(blob)
+                    if what == "hot":
+                        yield from batches_of(_ids(blob), _ids(blob))
                     continue
                 if bucket != now and held:
-                    yield from meet(now, held)
+                    yield from meet(held)
                     held = []
                 now = bucket
                 held.append(blob)
         if held:
-            yield from meet(now, held)
+            yield from meet(held)
 
     return run
 
 
 def prefix_candidates(sets: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
     """(a, b) of the sets under hot keys, by a prefix filter: ordered by frequency among these sets, two sets of n and m
-    words with a similarity of t or more share a word among the n - ceil(t n) + 1 and m - ceil(t m) + 1 rarest."""
-    members = sets.join(hot.select(F.col("b").alias("g")).distinct(), "g").select("g", "sid", F.split("words", " ").alias("ws"))
+    words with a similarity of t or more share a word among the n - ceil(t n) + 1 and m - ceil(t m) + 1 rarest. Of sets that
+    differ in more parities than may be, no pair is made."""
+    members = sets.join(hot.select(F.col("a").alias("g")).distinct(), "g").select("g", "sid", F.split("words", " ").alias("ws"))
     each = members.select("g", "sid", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     seen = each.groupBy("w").agg(F.count("*").alias("df"))
     ranked = each.join(seen, "w").groupBy("g", "sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
     length = F.col("n") - F.ceil(F.lit(p.threshold - 1e-9) * F.col("n")) + 1
-    tokens = ranked.select("g", "n", F.explode(F.slice("ws", F.lit(1), length.cast("int"))).alias("t")).select("g", "n", F.col("t.w").alias("w"))
-    a, b = tokens.toDF("a", "na", "w"), tokens.toDF("b", "nb", "w")
-    near = F.col("na") * p.threshold <= F.col("nb") + 1e-9
-    return a.join(b, "w").where((F.col("a") < F.col("b")) & near & (F.col("nb") * p.threshold <= F.col("na") + 1e-9)).select("a", "b").distinct()
+    tokens = ranked.select("g", "sid", "n", F.explode(F.slice("ws", F.lit(1), length.cast("int"))).alias("t")).select("g", "sid", "n", F.col("t.w").alias("w"))
+    a, b = tokens.toDF("a", "sa", "na", "w"), tokens.toDF("b", "sb", "nb", "w")
+    near = (F.col("na") * p.threshold <= F.col("nb") + 1e-9) & (F.col("nb") * p.threshold <= F.col("na") + 1e-9)
+    apart = F.bit_count(F.shiftright(F.col("a").bitwiseXOR(F.col("b")), 16))
+    once = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("sa") < F.col("sb")))
+    return a.join(b, "w").where(once & near & (apart <= _most_apart(F.col("na"), F.col("nb"), p.threshold))).select("a", "b").distinct()
 
 
 def _by_chance(mantissa: int, most: int, top: int = 65) -> np.ndarray:
@@ -321,24 +394,23 @@ def similar_sets(sets: DataFrame, n_rows: int, p: Params) -> DataFrame:
     buckets = max(16, math.ceil(n_rows * p.bands / p.bucket_entries))
     hashed = sets.select("g", _hashes("words").alias("hs"))
     blobs = hashed.mapInArrow(_band_blobs(buckets, p), "bucket int, hot boolean, blob binary")
-    met = blobs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(p), "kind int, a long, b long")
-    pairs = met.where("kind = 0").select("a", "b").distinct()
+    sorted_blobs = blobs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    met = lambda what: sorted_blobs.mapInArrow(_meetings(p, what), "a long, b long")
+    t, m = p.threshold, F.size(F.split("words", " "))
     sketch = _Sketch(p)
-    small = sets.select("g", F.size(F.split("words", " ")).alias("m"), sketch.of(_hashes("words")).alias("reg"))
-    first = pairs.join(small.select(F.col("g").alias("a"), F.col("m").alias("ma"), F.col("reg").alias("ra")), "a")
+    small = sets.where(m > SHORT).select("g", m.alias("m"), sketch.of(_hashes("words")).alias("reg"))
+    first = met("long").distinct().join(small.select(F.col("g").alias("a"), F.col("m").alias("ma"), F.col("reg").alias("ra")), "a")
     both = first.join(small.select(F.col("g").alias("b"), F.col("m").alias("mb"), F.col("reg").alias("rb")), "b")
-    t = p.threshold
     sized = both.where((F.col("ma") * t <= F.col("mb") + 1e-9) & (F.col("mb") * t <= F.col("ma") + 1e-9))
     likely = sized.where(sketch.likely(F.col("ra"), F.col("rb"), F.col("ma"), F.col("mb"))).select("a", "b")
-    hot = met.where("kind = 1")
-    likely = likely.unionByName(prefix_candidates(sets, hot, p)).distinct()
+    likely = met("short").unionByName(likely).unionByName(prefix_candidates(sets, met("hot"), p)).distinct()
     side = lambda s: sets.select(F.col("g").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "words", "rep", "shared")))
-    met = likely.join(side("a"), "a").join(side("b"), "b")
+    near = likely.join(side("a"), "a").join(side("b"), "b")
     wa, wb = F.split("words_a", " "), F.split("words_b", " ")
     shared = F.size(F.array_intersect(wa, wb))
     return (
-        met.withColumn("similarity", shared / (F.size(wa) + F.size(wb) - shared))
-        .where((F.col("similarity") >= t - 1e-9) & (F.col("sid_a") != F.col("sid_b")))
+        near.withColumn("similarity", shared / (F.size(wa) + F.size(wb) - shared))
+        .where((F.col("similarity") >= t - 1e-9) & ((F.col("a") < F.col("b")) | (F.col("sid_a") < F.col("sid_b"))))
         .select("sid_a", "sid_b", "rep_a", "rep_b", "shared_a", "shared_b", "similarity")
     )
 
@@ -347,12 +419,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, p: Params = Params()) ->
     """(sets, links, members): the distinct sets, the links between them, and the records of sets that rows share.
 
     Null keys and texts and texts of fewer than p.min_words words take no part. members has (sid, key) of the sets that
-    several records share; the only record of another set is its rep.
+    several records share; the only record of another set is its rep. links and members are used in several places, and
+    are stored.
     """
     sets = distinct_sets(df, key, text, p)
-    links = similar_sets(sets, df.count(), p)
-    rows = _keyed_words(df, key, text, p, False).select("sid", "key")
-    members = rows.join(sets.where("shared").select("sid"), "sid", "left_semi").distinct()
+    links = stored(similar_sets(sets, df.count(), p))
+    rows = _keyed_words(df, key, text, p, False).select("sid", "key").repartition("sid").distinct()
+    members = stored(rows.join(rows.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1"), "sid", "left_semi"))
     return sets, links, members
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from burstline.llm import neardup as N
@@ -100,3 +101,81 @@ def test_registers_and_chance():
     n, m, k = 12, 20, 4000
     a, b = (N.registers(rng.integers(0, 2**63, (k, x), dtype=np.uint64).min(axis=1) * np.uint64(2), 5, 7) for x in (n, m))
     assert abs((a == b).mean() - N._by_chance(5, 7)[n, m]) < 0.01
+
+
+def shuffled(df):
+    """Rows of the result, and how many rows its exchanges wrote, each exchange once."""
+    rows, found = df.collect(), {}
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "ReusedExchangeExec":
+            return walk(node.child())
+        metrics = node.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            found[node.id()] = metrics.apply("shuffleRecordsWritten").value()
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, sum(found.values())
+
+
+def test_sets_that_meet_by_chance_do_not_travel(spark):
+    """Texts of usual words meet in numbers that grow with the square of the table, though no two are near."""
+    rng = random.Random(3)
+    rows = [(f"{k:05}", " ".join([*(f"usual{j}" for j in rng.sample(range(20), 10)), *(f"w{k}x{j}" for j in range(4))])) for k in range(1500)]
+    p = N.Params()
+    got, written = shuffled(N.similar_sets(N.distinct_sets(table(spark, rows), "id", "text", p), len(rows), p))
+    assert got == [] and written < 2 * len(rows)
+
+
+def test_ids_rule_out_no_near_pair(spark):
+    rows = random_rows(400, 9) + [(f"long{k}", " ".join(f"v{j}" for j in range(k % 3, 60 + k))) for k in range(12)]
+    p = N.Params()
+    ids = {r["rep"]: r["g"] for r in N.distinct_sets(table(spark, rows), "id", "text", p).collect()}
+    most, near = N._apart_table(p.threshold), {(a, b) for a, b in brute(rows, p) if a in ids and b in ids}
+    apart = {(a, b): (ids[a] ^ ids[b]) >> 16 for a, b in near}
+    assert len(near) > 200 and all(x.bit_count() <= most[ids[a] >> 10 & 63, ids[b] >> 10 & 63] for (a, b), x in apart.items())
+
+
+def test_different_sets_of_one_id(spark):
+    """Two near sets whose ids are equal are a pair like any other, with the prefix filter, too."""
+    base = " ".join(f"t{j}" for j in range(30))
+    sets = N.distinct_sets(table(spark, [(f"{k:06}", f"{base} a{k}") for k in range(2000)]), "id", "text", N.Params())
+    by_id = {}
+    for r in sets.select("g", "rep", "words").collect():
+        by_id.setdefault(r["g"], []).append((r["rep"], r["words"]))
+    rows = sorted(next(x for x in by_id.values() if len(x) > 1)[:2])
+    for extra, p in ([], N.Params()), ([(f"x{k}", f"{base} b{k}") for k in range(20)], N.Params(hot=5)):
+        given = rows + extra
+        got = [(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(table(spark, given), "id", "text", p).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(given, p) and tuple(k for k, _ in rows) in got
+    assert [r["n_links"] for r in N.near_duplicate_groups(table(spark, rows), "id", "text").collect()] == [1, 1]
+
+
+def test_keys_of_many_sets_of_several_blobs(spark):
+    """A key that more than `hot` sets of several blobs share makes their pairs, one that more than `crowd` share is hot."""
+    base = " ".join(f"t{j}" for j in range(20))
+    sets = N.distinct_sets(table(spark, [(f"{k:04}", f"{base} a{k}") for k in range(60)]), "id", "text", N.Params())
+    batches = sets.select("g", N._hashes("words").alias("hs")).toArrow().combine_chunks().to_batches(max_chunksize=5)
+    ids = sorted(r["g"] for r in sets.collect())
+    for crowd, pairs, hot in (1000, 60 * 59 // 2, 0), (20, None, 60):
+        p = N.Params(hot=10, crowd=crowd)
+        blobs = [x for b in N._band_blobs(16, p, 5)(iter(batches)) for x in b.to_pylist()]
+        blobs = pa.RecordBatch.from_pylist(sorted(blobs, key=lambda x: x["bucket"]), pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("blob", pa.binary())]))
+        met = {what: {(x["a"], x["b"]) for b in N._meetings(p, what)(iter([blobs])) for x in b.to_pylist()} for what in ("short", "hot")}
+        assert {a for a, _ in met["hot"]} == set(ids if hot else [])
+        assert pairs is None or met["short"] == {(a, b) for a in ids for b in ids if a < b} and len(met["short"]) == pairs
+
+
+def test_long_sets(spark):
+    """Pairs of sets of more than 32 and of more than 63 words, which registers are compared for, and of a long and a short one."""
+    rows = [(f"{n:03}{k}", " ".join([*(f"w{n}x{j}" for j in range(n)), *(f"y{n}x{k}x{j}" for j in range(2 * k))])) for n in (30, 33, 50, 61, 90) for k in range(4)]
+    p = N.Params()
+    got = [(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(table(spark, rows), "id", "text", p).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, p) and len(got) == 5 * 6
